@@ -1,0 +1 @@
+"""Empty on purpose: every capability of this library is a batch job, there is no streaming surface."""
