@@ -248,3 +248,40 @@ def grouped_map(
 
     ready = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return ready.mapInPandas(run, schema)
+
+
+def zscore(df: DataFrame, group, key, cols: dict[str, str]) -> DataFrame:
+    """z-scores inside a group with the population deviation; NULL where it is zero."""
+    stats = [x for n, c in cols.items() for x in (F.avg(c).alias(f"_m_{n}"), F.stddev_pop(c).alias(f"_s_{n}"))]
+    out = with_group_stats(df, group, key, stats)
+    out = out.withColumns(
+        {n: (F.col(c) - F.col(f"_m_{n}")) / F.nullif(F.col(f"_s_{n}"), F.lit(0.0)) for n, c in cols.items()}
+    )
+    return out.drop("_n", *[f"_{p}_{n}" for n in cols for p in "ms"])
+
+
+def standardize(df: DataFrame, group, key, cols: Sequence[str]) -> DataFrame:
+    """Columns centred and scaled inside a group; a constant column becomes zero."""
+    z = zscore(df, group, key, {f"_z_{c}": c for c in cols})
+    filled = {c: F.when(F.col(c).isNotNull(), F.coalesce(f"_z_{c}", F.lit(0.0))) for c in cols}
+    return z.withColumns(filled).drop(*[f"_z_{c}" for c in cols])
+
+
+def average_ranks(df: DataFrame, group: str, value: str, key, name: str) -> DataFrame:
+    """Rank of each row in its group by ``value``, ties sharing the mean of their ranks.
+
+    Equal values are counted first, so copies cost one row, and only distinct values are sorted.
+    """
+    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    before = running_totals(counts, [F.col(group), F.col(value)], {"_before": "_n"})
+    start = before.groupBy(group).agg(F.sum("_n").alias("_size"), F.min("_before").alias("_start"))
+    placed = attach(before, start, group, value, size="_size")
+    rank = F.col("_before") - F.col("_start") + (F.col("_n") + 1) / 2
+    ranks = placed.select(group, value, "_n", rank.cast("double").alias(name))
+    return attach(df, ranks, [group, value], key).drop("_n")
+
+
+def group_delta(df: DataFrame, group, key, cols: Sequence[str]) -> DataFrame:
+    """Columns ``<c>_diff``: value minus the mean of its group."""
+    out = with_group_stats(df, group, key, [F.avg(c).alias(f"_m_{c}") for c in cols])
+    return out.withColumns({f"{c}_diff": F.col(c) - F.col(f"_m_{c}") for c in cols}).drop("_n", *[f"_m_{c}" for c in cols])
