@@ -205,14 +205,14 @@ def join_scores_left(spark, sf):
 
 @query(
     "join_fold_preds",
-    f"""SELECT o_custkey, o_orderkey, {r6("o_totalprice / 3000000")} AS pred_0, {r6("o_totalprice / 7000000")} AS pred_1,
-               CASE WHEN o_orderstatus = 'F' THEN {r6("o_totalprice / 9000000")} END AS pred_2 FROM orders""",
+    f"""SELECT o_custkey, o_orderkey, {r6("ln(o_totalprice) / 20")} AS pred_0, {r6("ln(o_totalprice) / 30")} AS pred_1,
+               CASE WHEN o_orderstatus = 'F' THEN {r6("ln(o_totalprice) / 40")} END AS pred_2 FROM orders""",
 )
 def join_fold_preds(spark, sf):
     o = t(spark, sf, "orders")
     keys = ["o_custkey", "o_orderkey"]
-    fold = lambda d, i, by: d.select(*keys, A.r6(F.col("o_totalprice") / by).alias(f"pred_{i}"))
-    return W.wide_features(fold(o, 0, 3000000), [fold(o, 1, 7000000), fold(o.where("o_orderstatus = 'F'"), 2, 9000000)], keys)
+    fold = lambda d, i, by: d.select(*keys, A.r6(F.log("o_totalprice") / by).alias(f"pred_{i}"))
+    return W.wide_features(fold(o, 0, 20), [fold(o, 1, 30), fold(o.where("o_orderstatus = 'F'"), 2, 40)], keys)
 
 
 # ---- ranking -------------------------------------------------------------------------------------

@@ -90,3 +90,23 @@ def mean_of(*cols) -> Column:
 
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(x)))
+
+
+def other_members(df, authors: str, own: str):
+    """Names and organisation words of the authors other than the group's own, without ``NULL``.
+
+    ``authors`` is an array of structs whose ``name`` and ``org`` are comma-joined lists; an author is
+    the group's own when the list of names contains ``own``.
+    """
+    others = F.filter(authors, lambda a: ~F.array_contains(F.split(a["name"], ","), F.col(own)))
+
+    def flat(field):
+        return F.filter(F.flatten(F.transform(others, lambda a: F.split(a[field], ","))), lambda w: w != "NULL")
+
+    return df.withColumns({"names": flat("name"), "orgs": flat("org")})
+
+
+def token_counts(df, columns: dict[str, str]):
+    """Lengths of token arrays, and ``no_data`` = 1 where all of them are empty."""
+    sizes = {n: F.size(c).cast("long") for n, c in columns.items()}
+    return df.withColumns({**sizes, "no_data": (sum(sizes.values(), F.lit(0)) == 0).cast("int")})

@@ -68,8 +68,7 @@ def digits_to_zero(w: Column) -> Column:
 
 def filter_tokens(tokens, stop_words: Sequence[str], stem=None) -> Column:
     """Drop stop words and numbers, digit runs to 0, optional stem, drop tokens of one character."""
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    kept = F.filter(_c(tokens), lambda w: ~F.array_contains(stop, w) & ~w.rlike(r"^\d+$"))
+    kept = F.filter(_c(tokens), lambda w: ~w.isin(*stop_words) & ~w.rlike(r"^\d+$"))
     mapped = F.transform(kept, digits_to_zero)
     if stem is not None:
         mapped = F.transform(mapped, stem)

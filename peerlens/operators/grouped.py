@@ -153,8 +153,18 @@ def row_positions(rows: DataFrame, order: Sequence[Column], name: str = "pos") -
 def group_ranks(
     rows: DataFrame, keys, order: Sequence[Column], spread_by, *, rank: str = "rank", split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
-    """Rank (from 1) inside each key by a total ``order``; adds the key size as ``_n``."""
+    """Rank (from 1) inside each key by a total ``order``; adds the key size as ``_n``.
+
+    While every key has at most ``split_rows`` rows this is a window; one larger key sends all rows
+    through the range-partitioned sort.
+    """
     keys = as_list(keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not sizes.where(F.col("_n") > split_rows).limit(1).count():
+        w = Window.partitionBy(*keys)
+        return rows.withColumn(rank, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(
+            "_n", F.count(F.lit(1)).over(w)
+        )
     placed = row_positions(rows, [F.col(k) for k in keys] + list(order), "_at")
     first = [F.min("_at").alias("_from")]
     return (
