@@ -31,7 +31,7 @@ def sql_hash(seed, *cols: str) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + 1e-10, 6) + 0.0)"
 
 
 EMB = "emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"

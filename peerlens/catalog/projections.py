@@ -266,15 +266,6 @@ def set_union_labels(spark, sf):
     return W.explode_labels(lists, "o_custkey", "normal_data", "outliers", "o_orderkey")
 
 
-@query(
-    "set_oof_union",
-    f"""SELECT doc_id, source, {sql_hash(42, 'source')} % 4 AS fold, {r6("n_chars / (n_chars + 1500.0)")} AS pred FROM documents""",
-)
-def set_oof_union(spark, sf):
-    d = t(spark, sf, "documents").withColumn("fold", portable_hash(42, "source") % 4)
-    return d.select("doc_id", "source", "fold", A.r6(F.col("n_chars") / (F.col("n_chars") + 1500.0)).alias("pred"))
-
-
 @query(
     "rsh_explode",
     "SELECT doc_id, unnest(regexp_split_to_array(text, '\\n')) AS line FROM documents",
