@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["io", "projections", "joins", "aggregates", "texts", "outliers", "peers", "learning"]
+MODULES = ["io", "projections", "joins", "aggregates", "texts", "outliers", "peers", "learning", "end_to_end"]
 
 
 def load():

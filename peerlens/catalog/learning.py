@@ -16,6 +16,7 @@ from peerlens.operators import metrics as M
 from peerlens.operators import models as MD
 from peerlens.operators import neighbours as N
 from peerlens.operators import splits as SP
+from peerlens.runtime import spread
 
 # ---- splits --------------------------------------------------------------------------------------
 
@@ -259,7 +260,7 @@ COLS = ["chars", "words", "mean_word", "lines", "distinct_share", "french"]
 
 def doc_features(spark, sf):
     w = X.words("text")
-    d = t(spark, sf, "documents").select(
+    d = spread(t(spark, sf, "documents")).select(
         "doc_id",
         "source",
         F.col("n_chars").cast("double").alias("chars"),

@@ -16,6 +16,7 @@ from peerlens.operators import tfidf as TF
 from peerlens.operators import wordvec as WV
 from peerlens.operators.outliers import panel
 from peerlens.operators.vectors import cos_to_centroid, dense_stats, pair_stats
+from peerlens.runtime import spread
 
 
 def order_sets(spark, sf):
@@ -83,7 +84,7 @@ def tfi_cosine(spark, sf):
 
 @query("tfi_svd")
 def tfi_svd(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
+    d = doc_tokens(spark, sf).select("doc_id", "tokens")
     s = TF.svd_features(d, "doc_id", "tokens", k=16, features=512)
     return s.select("doc_id", A.r6(A.norm("svd")).alias("length"))
 
@@ -159,10 +160,10 @@ _WALKS, _STEPS = 2, 2
 
 
 def _walk_sql() -> str:
-    parts = [EDGES_SQL, f"w0 AS (SELECT o_custkey AS g, o_orderkey AS p, o_orderkey AS at, unnest(range({_WALKS})) AS walk, CAST([] AS VARCHAR[]) AS path FROM orders)"]
+    parts = [EDGES_SQL, f"w0 AS (SELECT o_custkey AS g, o_orderkey AS p, o_orderkey AS loc, unnest(range({_WALKS})) AS walk, CAST([] AS VARCHAR[]) AS path FROM orders)"]
     for k in ("author", "org"):
         parts.append(
-            f"""{k}_h AS (SELECT o_custkey AS g, o_orderkey AS at, key, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY key) - 1 AS kidx,
+            f"""{k}_h AS (SELECT o_custkey AS g, o_orderkey AS loc, key, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY key) - 1 AS kidx,
                count(*) OVER (PARTITION BY o_custkey, o_orderkey) AS kdeg, row_number() OVER (PARTITION BY o_custkey, key ORDER BY o_orderkey) - 1 AS pidx,
                count(*) OVER (PARTITION BY o_custkey, key) AS pdeg FROM {k}_edges)"""
         )
@@ -171,10 +172,10 @@ def _walk_sql() -> str:
         for kind, k in enumerate(("author", "org")):
             draw = f"({sql_hash(f'0|{step}|{kind}|p', 'w.p', 'w.walk')} % nullif(h.pdeg - 1, 0))"
             parts.append(
-                f"""w{i + 1} AS (SELECT w.g, w.p, w.walk, coalesce(n.at, w.at) AS at,
-                      CASE WHEN n.at IS NULL THEN w.path ELSE list_append(w.path, CAST(n.at AS VARCHAR)) END AS path
-                    FROM w{i} w LEFT JOIN (SELECT DISTINCT g, at, kdeg FROM {k}_h) c ON c.g = w.g AND c.at = w.at
-                    LEFT JOIN {k}_h h ON h.g = w.g AND h.at = w.at AND h.kidx = {sql_hash(f'0|{step}|{kind}|k', 'w.p', 'w.walk')} % c.kdeg
+                f"""w{i + 1} AS (SELECT w.g, w.p, w.walk, coalesce(n.loc, w.loc) AS loc,
+                      CASE WHEN n.loc IS NULL THEN w.path ELSE list_append(w.path, CAST(n.loc AS VARCHAR)) END AS path
+                    FROM w{i} w LEFT JOIN (SELECT DISTINCT g, loc, kdeg FROM {k}_h) c ON c.g = w.g AND c.loc = w.loc
+                    LEFT JOIN {k}_h h ON h.g = w.g AND h.loc = w.loc AND h.kidx = {sql_hash(f'0|{step}|{kind}|k', 'w.p', 'w.walk')} % c.kdeg
                     LEFT JOIN {k}_h n ON n.g = w.g AND n.key = h.key AND h.pdeg > 1 AND n.pidx = CASE WHEN {draw} < h.pidx THEN {draw} ELSE {draw} + 1 END)"""
             )
             i += 1
@@ -230,7 +231,7 @@ def gra_features(spark, sf):
 
 
 def doc_tokens(spark, sf):
-    return t(spark, sf, "documents").select("source", "doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
+    return spread(t(spark, sf, "documents").select("source", "doc_id", "text")).select("source", "doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
 
 
 def _model(spark, sf):

@@ -11,6 +11,7 @@ from peerlens.functions import arrays as A
 from peerlens.functions import language as L
 from peerlens.functions import text as X
 from peerlens.operators.vocabulary import stem_tokens
+from peerlens.runtime import spread
 
 SP = "\\s"
 
@@ -34,12 +35,16 @@ def filter_sql(tokens: str, stop) -> str:
 
 
 def _pages(spark, sf):
-    return t(spark, sf, "pages").select("page_id", "html")
+    return spread(t(spark, sf, "pages").select("page_id", "html"))
+
+
+def _docs(spark, sf):
+    return spread(t(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
 @query("txt_shorten_head_tail", f"SELECT doc_id, {shorten_sql('text', 50)} AS short FROM documents")
 def txt_shorten_head_tail(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", X.shorten("text", 50).alias("short"))
+    return _docs(spark, sf).select("doc_id", X.shorten("text", 50).alias("short"))
 
 
 @query(
@@ -47,7 +52,7 @@ def txt_shorten_head_tail(spark, sf):
     "SELECT doc_id, array_to_string(string_split(text, ' ')[1:64], ' ') AS first_words FROM documents",
 )
 def txt_truncate_words(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", X.first_words("text", 64).alias("first_words"))
+    return _docs(spark, sf).select("doc_id", X.first_words("text", 64).alias("first_words"))
 
 
 @query(
@@ -74,7 +79,7 @@ def txt_remove_special(spark, sf):
 
 @query("txt_remove_newlines", "SELECT doc_id, replace(text, chr(10), '') AS text FROM documents")
 def txt_remove_newlines(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", X.remove_newlines("text").alias("text"))
+    return _docs(spark, sf).select("doc_id", X.remove_newlines("text").alias("text"))
 
 
 @query("txt_clean", f"SELECT page_id, {clean_sql('html')} AS text FROM pages")
@@ -100,7 +105,7 @@ def txt_tokenize_light(spark, sf):
 
 @query("txt_vocab_normalize")
 def txt_vocab_normalize(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
+    d = _docs(spark, sf).select("doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
     s = stem_tokens(d, "doc_id", "tokens")
     return s.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
@@ -159,12 +164,12 @@ def txt_org_tokens(spark, sf):
 def txt_keywords_flatten(spark, sf):
     lines = F.transform(F.split("text", "\n"), lambda s: X.spaced(X.clean(s)))
     w = F.flatten(lines)
-    return t(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.array_join(w, "|").alias("words"))
+    return _docs(spark, sf).select("doc_id", F.size(w).cast("long").alias("n"), F.array_join(w, "|").alias("words"))
 
 
 @query("txt_script_flag")
 def txt_script_flag(spark, sf):
-    return t(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", X.has_cjk("text").cast("int").alias("cjk"), F.array_join(X.cjk_runs("text"), " ").alias("runs")
     )
 
@@ -182,7 +187,7 @@ _VOTES = ", ".join(f"('{w}', '{lang}')" for lang, ws in L.FUNCTION_WORDS.items()
         FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND b.rn = 1""",
 )
 def txt_language(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "text", "lang")
+    d = _docs(spark, sf).select("doc_id", "text", "lang")
     return L.detect(d, "doc_id", "text").select("doc_id", "lang", "language")
 
 
@@ -244,7 +249,7 @@ def papers_with_authors(spark, sf):
         SELECT doc_id, len(tt) AS t_num, len(aa) AS a_num, CASE WHEN len(tt) = 0 AND len(aa) = 0 THEN 1 ELSE 0 END AS no_data FROM x""",
 )
 def arr_counts(spark, sf):
-    d = title_abstract(t(spark, sf, "documents")).select(
+    d = title_abstract(_docs(spark, sf)).select(
         "doc_id",
         X.tokens(X.clean("title"), X.STOP_WORDS).alias("tt"),
         X.tokens(X.clean("abstract"), X.STOP_WORDS).alias("aa"),
@@ -259,7 +264,7 @@ def arr_counts(spark, sf):
         SELECT doc_id, {r6("len(list_intersect(a, b)) * 1.0 / (len(a) + len(b) - len(list_intersect(a, b)))")} AS jaccard FROM x""",
 )
 def set_jaccard(spark, sf):
-    d = t(spark, sf, "documents").select(
+    d = _docs(spark, sf).select(
         "doc_id",
         F.array_distinct(X.spaced(X.clean(F.substring_index("text", "\n", 1)))).alias("a"),
         F.array_distinct(X.spaced(X.clean("text"))).alias("b"),

@@ -37,13 +37,22 @@ def cosine(a, b) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a column used inside a lambda is otherwise
+    evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(a) -> Column:
     """Unit vector; NaN and infinite components count as zero, a zero vector stays zero."""
     safe = F.transform(
         _c(a), lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x)
     )
-    size = norm(safe)
-    return F.transform(safe, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x / size))
+
+    def scaled(v):
+        return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)))
+
+    return let(safe, scaled)
 
 
 def squared_distance(a, b) -> Column:
@@ -58,19 +67,29 @@ def sorted_quantile(s: Column, q: float) -> Column:
     return lo + (hi - lo) * (at - F.floor(at))
 
 
-def central_moment(v: Column, k: int) -> Column:
-    mean = total(v) / F.size(v)
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(x - mean, F.lit(float(k)))) / F.size(v)
+def _centred(v: Column) -> Column:
+    return let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+
+
+def _power_mean(c: Column, k: int) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda s, x: s + F.pow(x, F.lit(float(k)))) / F.size(c)
+
+
+def _shape(v: Column, k: int) -> Column:
+    def ratio(c):
+        return _power_mean(c, k) / F.nullif(F.pow(_power_mean(c, 2), F.lit(k / 2.0)), F.lit(0.0))
+
+    return let(v, lambda w: let(_centred(w), ratio))
 
 
 def skewness(v: Column) -> Column:
     """Population skewness of an array, NULL when it is constant."""
-    return central_moment(v, 3) / F.nullif(F.pow(central_moment(v, 2), F.lit(1.5)), F.lit(0.0))
+    return _shape(v, 3)
 
 
 def kurtosis(v: Column) -> Column:
     """Population excess kurtosis of an array, NULL when it is constant."""
-    return central_moment(v, 4) / F.nullif(F.pow(central_moment(v, 2), F.lit(2.0)), F.lit(0.0)) - 3
+    return _shape(v, 4) - 3
 
 
 def jaccard(a, b) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.functions import text as X
+from peerlens.runtime import spread
 
 # Frequent function words per language.
 FUNCTION_WORDS = {
@@ -28,7 +29,7 @@ def word_votes(spark: SparkSession) -> DataFrame:
 def detect(df: DataFrame, key: str, text: str, name: str = "language") -> DataFrame:
     """Add the language: ``Nothing`` for empty text, by script for Han, else the most voted (ties by name), else ``Other``."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    long = df.select(key, F.explode(words).alias("word"))
+    long = spread(df.select(key, text)).select(key, F.explode(words).alias("word"))
     votes = long.join(F.broadcast(word_votes(df.sparkSession)), "word").groupBy(key, "lang").agg(F.count(F.lit(1)).alias("n"))
     winner = votes.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("_w"))
     return (

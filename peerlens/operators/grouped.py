@@ -51,6 +51,13 @@ def attach(
     return salted.join(copies, keys + ["_salt"], how).drop("_salt", "_parts")
 
 
+def _has_hot(rows: DataFrame, keys: list[str], split_rows: int) -> bool:
+    """Does any key hold more than ``split_rows`` rows? Decides between a window and a split plan."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0]
+    return largest is not None and largest > split_rows
+
+
 def with_group_stats(
     rows: DataFrame, keys, spread_by, aggs: Sequence[Column], *, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
@@ -68,6 +75,11 @@ def dense_index(
     chunks of bounded size; each chunk is numbered on its own and shifted by the rows before it.
     """
     keys = as_list(keys)
+    if not _has_hot(rows, keys, split_rows):
+        w = Window.partitionBy(*keys)
+        return rows.withColumn(index, (F.row_number().over(w.orderBy(item)) - 1).cast("long")).withColumn(
+            size, F.count(F.lit(1)).over(w)
+        )
     counted = with_group_stats(rows, keys, item, [], split_rows=split_rows)
     chunked = counted.withColumn(
         "_chunk", F.pmod(F.xxhash64(item), F.ceil(F.col("_n") / F.lit(split_rows))).cast("int")
@@ -159,8 +171,7 @@ def group_ranks(
     through the range-partitioned sort.
     """
     keys = as_list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if not sizes.where(F.col("_n") > split_rows).limit(1).count():
+    if not _has_hot(rows, keys, split_rows):
         w = Window.partitionBy(*keys)
         return rows.withColumn(rank, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(
             "_n", F.count(F.lit(1)).over(w)
@@ -256,7 +267,9 @@ def grouped_map(
             flush(held, out)
             yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(names, out)})
 
-    ready = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # An explicit count: the work per byte is high, so small partitions must not be merged.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
     return ready.mapInPandas(run, schema)
 
 

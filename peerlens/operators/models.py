@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peerlens.runtime import spread
+
 
 def _assemble(cols: Sequence[str]):
     filled = [f"{c}__f" for c in cols]
@@ -116,4 +118,4 @@ def batch_infer(
                 out.extend(list(infer(texts[lo : lo + batch])))
             yield pd.DataFrame({key: pdf[key], name: out})
 
-    return df.select(key, text).mapInPandas(run, schema)
+    return spread(df.select(key, text)).mapInPandas(run, schema)

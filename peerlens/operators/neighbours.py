@@ -32,6 +32,7 @@ def knn_cosine(
     *,
     skip_same: bool = False,
     min_score: float | None = None,
+    not_within: tuple[str, str] | None = None,
     tile_rows: int = TILE_ROWS,
     item_tile_rows: int | None = None,
 ) -> DataFrame:
@@ -39,6 +40,8 @@ def knn_cosine(
 
     Both sides are cut into hash tiles and every query tile meets every item tile once, as one
     matrix product that lets out k rows per query. The tile counts come from the two row counts.
+    ``not_within`` names a block column of each side (a fold, say): an item of the query's own block
+    is no candidate; a NULL block never matches.
     """
     per_item_tile = item_tile_rows or max(tile_rows, 8 * k)
     nq = max(1, -(-queries.count() // tile_rows))
@@ -48,9 +51,15 @@ def knn_cosine(
         mine, other = (nq, ni) if is_query else (ni, nq)
         tile = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")
         spread = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        t = df.select(F.col(key).alias("_k"), A.doubles(vec).alias("_v"), tile.alias("_mine"), spread.alias("_other"))
+        block = F.lit(None).cast("long")
+        if not_within:
+            block = F.col(not_within[0 if is_query else 1]).cast("long")
+        block = F.coalesce(block, F.lit(-1 if is_query else -2))
+        t = df.select(
+            F.col(key).alias("_k"), A.doubles(vec).alias("_v"), block.alias("_b"), tile.alias("_mine"), spread.alias("_other")
+        )
         qt, it = ("_mine", "_other") if is_query else ("_other", "_mine")
-        return t.select(F.col(qt).alias("_qt"), F.col(it).alias("_it"), F.lit(is_query).alias("_q"), "_k", "_v")
+        return t.select(F.col(qt).alias("_qt"), F.col(it).alias("_it"), F.lit(is_query).alias("_q"), "_k", "_b", "_v")
 
     both = side(queries, q_key, q_vec, True).unionByName(side(items, i_key, i_vec, False))
     key_type = both.schema["_k"].dataType
@@ -65,6 +74,8 @@ def knn_cosine(
         qk, ik = q["_k"].to_numpy(), i["_k"].to_numpy()
         if skip_same:
             c[qk[:, None] == ik[None, :]] = -np.inf
+        if not_within:
+            c[q["_b"].to_numpy()[:, None] == i["_b"].to_numpy()[None, :]] = -np.inf
         if min_score is not None:
             c[c < min_score] = -np.inf
         at = np.argsort(-c, axis=1, kind="stable")[:, :k]

@@ -18,7 +18,7 @@ QUANTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 def row_stats(df: DataFrame, vec: str, prefix: str) -> DataFrame:
     """The eight statistics of each vector over its own components (sample std and var)."""
     v = A.doubles(vec)
-    s = F.sort_array(F.col("_s"))
+    s = F.col("_s")
     m = F.col("_m")
     var = F.aggregate("_s", F.lit(0.0), lambda t, x: t + (x - m) * (x - m)) / F.nullif(F.size("_s") - 1, F.lit(0))
     named = {

@@ -55,3 +55,12 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores over all cores, ahead of CPU-heavy row work.
+
+    Inputs with enough splits pass unchanged, so only small data is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
