@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "peerlens") -> SparkSession:
     """Session for tests and benches; a cluster job brings its own."""
@@ -64,3 +67,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@functools.cache
+def _package_zip() -> str:
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="peerlens-zip-"), "peerlens")
+    return shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        sc.addPyFile(_package_zip())
+        _SHIPPED.add(sc.applicationId)
