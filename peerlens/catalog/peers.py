@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peerlens.catalog.base import query, r6, sql_hash, t
-from peerlens.catalog.texts import NAMES_SQL, clean_sql, filter_sql, papers_with_authors
+from peerlens.catalog.texts import NAMES_SQL, author_rows, clean_sql, filter_sql
 from peerlens.functions import arrays as A
 from peerlens.functions import text as X
 from peerlens.functions.hashing import portable_hash
@@ -119,21 +119,16 @@ org_edges AS (SELECT DISTINCT o_custkey, o_orderkey, replace(org, ',NULL', '') A
 venue_edges AS (SELECT o_custkey, o_orderkey, unnest(CASE WHEN o_orderpriority LIKE '4%' THEN ['null'] ELSE list_distinct(string_split({clean_sql('o_orderpriority')}, ' ')) END) AS key FROM orders)"""
 
 
-def graph_papers(spark, sf):
+def graph_edges(spark, sf):
     o = t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     words = F.when(F.col("o_orderpriority").startswith("4"), F.array().cast("array<string>")).otherwise(
         F.array_distinct(X.spaced(X.clean("o_orderpriority")))
     )
-    p = papers_with_authors(spark, sf)
-    return o.withColumn("venue", words).join(p.select("o_orderkey", "own", "authors"), "o_orderkey", "left")
-
-
-def graph_edges(spark, sf):
-    p = graph_papers(spark, sf)
+    p = author_rows(spark, sf)
     return {
         "author": GR.author_edges(p, "o_custkey", "o_orderkey", "authors", "own"),
         "org": GR.org_edges(p, "o_custkey", "o_orderkey", "authors", "own"),
-        "venue": GR.venue_edges(p, "o_custkey", "o_orderkey", "venue"),
+        "venue": GR.venue_edges(o.withColumn("venue", words), "o_custkey", "o_orderkey", "venue"),
     }
 
 

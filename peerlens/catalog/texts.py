@@ -225,21 +225,19 @@ def txt_group_name_match(spark, sf):
 
 @query(
     "arr_other_members",
-    f"""WITH {NAMES_SQL}, o AS (SELECT * FROM names WHERE NOT list_contains(string_split(name, ','), CAST(own AS VARCHAR)))
-        SELECT k.o_orderkey, coalesce(string_agg(name, ',' ORDER BY l_linenumber, name, org), '') AS names,
-               coalesce(string_agg(replace(org, ',NULL', ''), ',' ORDER BY l_linenumber, name, org), '') AS orgs
-        FROM (SELECT DISTINCT o_orderkey FROM names) k LEFT JOIN o ON k.o_orderkey = o.o_orderkey GROUP BY k.o_orderkey""",
+    f"""WITH {NAMES_SQL} SELECT o_orderkey, l_linenumber, name,
+               CASE WHEN list_contains(string_split(name, ','), CAST(own AS VARCHAR)) THEN '' ELSE name END AS names,
+               CASE WHEN list_contains(string_split(name, ','), CAST(own AS VARCHAR)) THEN '' ELSE replace(org, ',NULL', '') END AS orgs
+        FROM names""",
 )
 def arr_other_members(spark, sf):
-    p = papers_with_authors(spark, sf)
-    return A.other_members(p, "authors", "own").select("o_orderkey", F.array_join("names", ",").alias("names"), F.array_join("orgs", ",").alias("orgs"))
+    p = A.other_members(author_rows(spark, sf), "authors", "own")
+    return p.select("o_orderkey", "l_linenumber", "name", F.array_join("names", ",").alias("names"), F.array_join("orgs", ",").alias("orgs"))
 
 
-def papers_with_authors(spark, sf):
-    """Papers with their authors as an array of (name, org); a paper is one record, so its list is bounded."""
-    one = F.sort_array(F.collect_list(F.struct("l_linenumber", "name", "org")))
-    return order_names(spark, sf).groupBy("o_custkey", "o_orderkey", "own").agg(one.alias("authors"))
-
+def author_rows(spark, sf):
+    """Papers with an array of authors, one author per row: these tables hold no author lists, and none is collected."""
+    return order_names(spark, sf).withColumn("authors", F.array(F.struct("name", "org")))
 
 
 @query(

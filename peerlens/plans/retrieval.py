@@ -32,7 +32,7 @@ def questions(raw: DataFrame, generated: DataFrame | None, *, folds: int = 4, ma
 def passages(qs: DataFrame, truth: DataFrame, papers: DataFrame, *, max_words: int = 256) -> DataFrame:
     """(passage, pid, fold, text): question views of known pairs with their fold, paper texts with none.
 
-    The passage id is dense enough for ties only: a hash of (question, paper, view).
+    ``passage`` names the (paper, question, view).
     """
     pairs = qs.select("q_id", "question", "body", "answer", "summary", "fold").join(truth, "q_id").join(papers, "pid")
     for_view = W.passage_views(
@@ -42,7 +42,8 @@ def passages(qs: DataFrame, truth: DataFrame, papers: DataFrame, *, max_words: i
         passage_words=max_words,
     )
     known = for_view.select(F.col("pid.pid").alias("pid"), F.col("pid.q_id").alias("q_id"), F.col("pid.fold").alias("fold"), "view", "text")
-    return known.withColumn("passage", F.xxhash64("pid", "q_id", "view"))
+    name = [F.col("pid").cast("string"), F.coalesce(F.col("q_id").cast("string"), F.lit("-")), F.col("view")]
+    return known.withColumn("passage", F.concat_ws("|", *name))
 
 
 def candidates(
