@@ -129,7 +129,7 @@ def agg_group_error_rate(spark, sf):
     "evl_retrieval",
     f"""WITH emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         s AS (SELECT a.vec_id, CAST(a.label = b.label AS INTEGER) AS hit, row_number() OVER (PARTITION BY a.vec_id
-                 ORDER BY (round(list_cosine_similarity(a.v, b.v), 6) + 0.0) DESC, b.vec_id) AS rank FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
+                 ORDER BY {r6('list_cosine_similarity(a.v, b.v)')} DESC, b.vec_id) AS rank FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
         tp AS (SELECT *, sum(hit) OVER (PARTITION BY vec_id ORDER BY rank) * 1.0 / rank AS prec FROM s WHERE rank <= 10),
         q AS (SELECT vec_id, sum(hit) AS hits, sum(prec * hit) AS ap FROM tp GROUP BY vec_id),
         n AS (SELECT vec_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM emb)

@@ -1,7 +1,9 @@
-"""Exact nearest neighbours by cosine: tiled matrix products, partial top-k per tile, merged top-k."""
+"""Exact nearest neighbours by cosine: tiled matrix products with a running top-k, then one merge."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from peerlens.functions import arrays as A
-from peerlens.operators.grouped import grouped_map
 from peerlens.operators.tiles import TILE_ROWS, cosine, matrix
 
+SEGMENT_ROWS = 131_072
+
 
 def top_per_key(df: DataFrame, key, order: list, k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key. The limit is pushed below the shuffle, so a hot key sends k rows per task."""
@@ -34,58 +37,104 @@ def knn_cosine(
     min_score: float | None = None,
     not_within: tuple[str, str] | None = None,
     tile_rows: int = TILE_ROWS,
-    item_tile_rows: int | None = None,
+    segment_rows: int | None = None,
 ) -> DataFrame:
     """(query, item, score, rank): the k items of largest cosine, scores rounded to 6 digits, ties by item key.
 
-    Both sides are cut into hash tiles and every query tile meets every item tile once, as one
-    matrix product that lets out k rows per query. The tile counts come from the two row counts.
-    ``not_within`` names a block column of each side (a fold, say): an item of the query's own block
-    is no candidate; a NULL block never matches.
+    Queries are cut into hash tiles and items into longer hash segments; the counts of both follow
+    from the row counts. A task unit holds one query tile, streams the items of one segment past it
+    in blocks and lets out k rows per query. ``not_within`` names a block column of each side (a
+    fold, say): an item of the query's own block is no candidate; a NULL block never matches.
     """
-    per_item_tile = item_tile_rows or max(tile_rows, 8 * k)
-    nq = max(1, -(-queries.count() // tile_rows))
-    ni = max(1, -(-items.count() // per_item_tile))
+    per_segment = segment_rows or max(SEGMENT_ROWS, 64 * k)
+    tiles = max(1, -(-queries.count() // tile_rows))
+    segments = max(1, -(-items.count() // per_segment))
+    q_type, i_type = queries.schema[q_key].dataType, items.schema[i_key].dataType
 
     def side(df, key, vec, is_query):
-        mine, other = (nq, ni) if is_query else (ni, nq)
-        tile = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")
-        spread = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        block = F.lit(None).cast("long")
-        if not_within:
-            block = F.col(not_within[0 if is_query else 1]).cast("long")
-        block = F.coalesce(block, F.lit(-1 if is_query else -2))
-        t = df.select(
-            F.col(key).alias("_k"), A.doubles(vec).alias("_v"), block.alias("_b"), tile.alias("_mine"), spread.alias("_other")
+        mine, other = (tiles, segments) if is_query else (segments, tiles)
+        own = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        block = F.col(not_within[0 if is_query else 1]).cast("long") if not_within else F.lit(None).cast("long")
+        t = df.select(F.col(key).alias("_k"), A.doubles(vec).alias("_v"), block.alias("_b"), own.alias("_own"), each.alias("_each"))
+        qt, seg = ("_own", "_each") if is_query else ("_each", "_own")
+        q_id = F.col("_k") if is_query else _blank(q_type)
+        i_id = _blank(i_type) if is_query else F.col("_k")
+        return t.select(
+            F.col(qt).alias("_qt"), F.col(seg).alias("_seg"), F.lit(0 if is_query else 1).alias("_side"),
+            q_id.alias("_qk"), i_id.alias("_ik"), F.coalesce("_b", F.lit(-1 if is_query else -2)).alias("_b"), "_v",
         )
-        qt, it = ("_mine", "_other") if is_query else ("_other", "_mine")
-        return t.select(F.col(qt).alias("_qt"), F.col(it).alias("_it"), F.lit(is_query).alias("_q"), "_k", "_b", "_v")
 
-    both = side(queries, q_key, q_vec, True).unionByName(side(items, i_key, i_vec, False))
-    key_type = both.schema["_k"].dataType
-
-    def best(unit: tuple, pdf: pd.DataFrame):
-        is_q = pdf["_q"].to_numpy(bool)
-        q, i = pdf[is_q], pdf[~is_q]
-        if not len(q) or not len(i):
-            return None
-        c = np.round(cosine(matrix(q["_v"]), matrix(i["_v"])), 6)
-        c[np.isnan(c)] = -np.inf
-        qk, ik = q["_k"].to_numpy(), i["_k"].to_numpy()
-        if skip_same:
-            c[qk[:, None] == ik[None, :]] = -np.inf
-        if not_within:
-            c[q["_b"].to_numpy()[:, None] == i["_b"].to_numpy()[None, :]] = -np.inf
-        if min_score is not None:
-            c[c < min_score] = -np.inf
-        at = np.argsort(-c, axis=1, kind="stable")[:, :k]
-        got = np.take_along_axis(c, at, 1)
-        row, col = np.nonzero(got > -np.inf)
-        return [qk[row].tolist(), ik[at[row, col]].tolist(), got[row, col].tolist()]
+    names = ["_q", "item", "score"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in batches:
+            unit = pdf["_qt"].to_numpy().astype(np.int64) * segments + pdf["_seg"].to_numpy()
+            cuts = np.flatnonzero(np.diff(unit)) + 1
+            for part, u in zip(np.split(np.arange(len(pdf)), cuts), unit[np.concatenate([[0], cuts])] if len(pdf) else []):
+                if best is None or best.unit != u:
+                    if best is not None and best.q is not None:
+                        yield best.result(names)
+                    best = _Running(u, k, skip_same, min_score)
+                best.add(pdf.iloc[part])
+        if best is not None and best.q is not None:
+            yield best.result(names)
+
+    both = side(queries, q_key, q_vec, True).unionByName(side(items, i_key, i_vec, False))
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = both.repartition(tasks, "_qt", "_seg").sortWithinPartitions("_qt", "_seg", "_side", "_qk", "_ik")
     schema = T.StructType(
-        [T.StructField(q_key, key_type), T.StructField("item", key_type), T.StructField("score", T.DoubleType())]
+        [T.StructField("_q", q_type), T.StructField("item", i_type), T.StructField("score", T.DoubleType())]
     )
-    part = grouped_map(both, ["_qt", "_it"], best, schema, order=["_q", "_k"])
-    out = part.withColumn("score", F.col("score") + F.lit(0.0))
-    return top_per_key(out, q_key, [F.desc("score"), F.col("item")], k)
+    part = ready.mapInPandas(run, schema).withColumn("score", F.col("score") + F.lit(0.0))
+    out = top_per_key(part, "_q", [F.desc("score"), F.col("item")], k)
+    return out.withColumnRenamed("_q", q_key)
+
+
+def _blank(kind: T.DataType):
+    """A value for the key column of the other side; never NULL, which would turn integers into floats in pandas."""
+    return F.lit(0 if isinstance(kind, T.NumericType) else "").cast(kind)
+
+
+class _Running:
+    """Best k items per query of one tile while items arrive in key order."""
+
+    def __init__(self, unit, k: int, skip_same: bool, min_score: float | None):
+        self.unit, self.k, self.skip_same, self.min_score = unit, k, skip_same, min_score
+        self.head: list[pd.DataFrame] = []
+        self.q = None
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        asks = pdf["_side"].to_numpy() == 0
+        if asks.any():
+            self.head.append(pdf[asks])
+        got = pdf[~asks]
+        if not len(got) or not self.head:
+            return
+        if self.q is None:
+            q = pd.concat(self.head)
+            self.q, self.block, self.vec = q["_qk"].to_numpy(), q["_b"].to_numpy(), matrix(q["_v"])
+            self.score = np.zeros((len(q), 0))
+            self.item = np.zeros((len(q), 0), dtype=got["_ik"].to_numpy().dtype)
+        for lo in range(0, len(got), 2048):
+            self._merge(got.iloc[lo : lo + 2048])
+
+    def _merge(self, got: pd.DataFrame) -> None:
+        # The shift sends exact halves one way whatever the summation order was.
+        c = np.round(cosine(self.vec, matrix(got["_v"])) + 1e-10, 6)
+        c[np.isnan(c)] = -np.inf
+        ids = got["_ik"].to_numpy()
+        if self.skip_same:
+            c[self.q[:, None] == ids[None, :]] = -np.inf
+        c[self.block[:, None] == got["_b"].to_numpy()[None, :]] = -np.inf
+        if self.min_score is not None:
+            c[c < self.min_score] = -np.inf
+        score = np.concatenate([self.score, c], axis=1)
+        item = np.concatenate([self.item, np.broadcast_to(ids, c.shape)], axis=1)
+        at = np.argsort(-score, axis=1, kind="stable")[:, : self.k]  # equal scores stay in key order
+        self.score, self.item = np.take_along_axis(score, at, 1), np.take_along_axis(item, at, 1)
+
+    def result(self, names: list[str]) -> pd.DataFrame:
+        row, col = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame(dict(zip(names, (self.q[row], self.item[row, col], self.score[row, col]))))

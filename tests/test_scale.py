@@ -77,7 +77,7 @@ def test_order_values_by_narrowing(hot):
 
 def test_knn_tiles(emb):
     a = N.knn_cosine(emb, emb, "vec_id", "vec_id", "embedding", "embedding", 7, skip_same=True)
-    b = N.knn_cosine(emb, emb, "vec_id", "vec_id", "embedding", "embedding", 7, skip_same=True, tile_rows=60, item_tile_rows=70)
+    b = N.knn_cosine(emb, emb, "vec_id", "vec_id", "embedding", "embedding", 7, skip_same=True, tile_rows=60, segment_rows=70)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     longer = N.knn_cosine(emb, emb, "vec_id", "vec_id", "embedding", "embedding", 8, skip_same=True)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, longer.where("rank <= 7").collect()))
@@ -277,3 +277,11 @@ def test_error_rate_and_blend(spark):
     long = spark.createDataFrame([("l", 1, 0.2), ("c", 1, 0.6), ("x", 1, 1.0)], "m string, i long, p double")
     got = {r["combination"]: r["pred"] for r in M.blend(long, ["i"], "m", "p", {"lc": ["l", "c"], "x": ["x"]}).collect()}
     assert got == pytest.approx({"lc": 0.4, "x": 1.0})
+
+
+def test_knn_large_and_string_keys(spark):
+    base = 9_007_199_254_740_993  # beyond exact doubles
+    rows = [(base + i, f"p{i:02d}", [1.0, i / 10]) for i in range(6)]
+    df = spark.createDataFrame(rows, "q long, p string, v array<double>")
+    out = N.knn_cosine(df, df, "q", "p", "v", "v", 1).orderBy("q").collect()
+    assert [(r["q"], r["item"]) for r in out] == [(q, p) for q, p, _ in rows]
