@@ -135,14 +135,14 @@ def agg_group_delta(spark, sf):
 
 @query(
     "agg_negative_count",
-    """SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS negatives,
-              (SELECT sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) FROM orders) AS all_negatives FROM orders GROUP BY o_custkey""",
+    """SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS negatives,
+              CAST((SELECT sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) FROM orders) AS BIGINT) AS all_negatives FROM orders GROUP BY o_custkey""",
 )
 def agg_negative_count(spark, sf):
     o = t(spark, sf, "orders").select("o_custkey", (F.col("o_orderstatus") != "F").cast("long").alias("neg"))
     per = o.groupBy("o_custkey").agg(F.sum("neg").alias("negatives"))
     everything = o.agg(F.sum("neg").alias("s")).first()["s"]
-    return per.withColumn("all_negatives", F.lit(everything))
+    return per.withColumn("all_negatives", F.lit(everything).cast("long"))
 
 
 @query(

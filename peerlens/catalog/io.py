@@ -71,7 +71,7 @@ def src_parquet(spark, sf):
 
 @query(
     "sink_parquet",
-    """SELECT lang, count(*) AS n, sum(n_chars) AS chars, min(doc_id) AS first_doc FROM documents GROUP BY lang""",
+    """SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, min(doc_id) AS first_doc FROM documents GROUP BY lang""",
 )
 def sink_parquet(spark, sf):
     path = scratch_path(spark, "features")

@@ -87,7 +87,7 @@ def _auc_sql(group: str, by: str) -> str:
 ga AS (SELECT {group + ',' if group else ''} sum(quality) AS p, count(*) - sum(quality) AS q, sum(CASE WHEN quality = 1 THEN r ELSE 0 END) AS s FROM rk {'GROUP BY ' + group if group else ''})"""
 
 
-@query("evl_auc", f"WITH {SCORES}, {_auc_sql('', '')} SELECT p AS positives, q AS negatives, {r6('(s - p * (p + 1) / 2.0) / (p * q)')} AS auc FROM ga")
+@query("evl_auc", f"WITH {SCORES}, {_auc_sql('', '')} SELECT CAST(p AS BIGINT) AS positives, CAST(q AS BIGINT) AS negatives, {r6('(s - p * (p + 1) / 2.0) / (p * q)')} AS auc FROM ga")
 def evl_auc(spark, sf):
     return M.auc(doc_scores(spark, sf), "quality", "pred").withColumn("auc", A.r6("auc"))
 
@@ -95,7 +95,7 @@ def evl_auc(spark, sf):
 @query(
     "evl_weighted_auc",
     f"""WITH {SCORES}, {_auc_sql('source', 'PARTITION BY source')}, a AS (SELECT q, (s - p * (p + 1) / 2.0) / nullif(p * q, 0) AS auc FROM ga)
-        SELECT {r6('sum(coalesce(auc, 0) * q) / sum(q)')} AS weighted_auc, sum(CASE WHEN auc IS NULL THEN 1 ELSE 0 END) AS undefined_groups FROM a""",
+        SELECT {r6('sum(coalesce(auc, 0) * q) / sum(q)')} AS weighted_auc, CAST(sum(CASE WHEN auc IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS undefined_groups FROM a""",
 )
 def evl_weighted_auc(spark, sf):
     return M.weighted_auc(doc_scores(spark, sf), "source", "quality", "pred").withColumn("weighted_auc", A.r6("weighted_auc"))

@@ -10,12 +10,12 @@ from peerlens.functions import arrays as A
 from peerlens.functions import text as X
 from peerlens.functions.hashing import portable_hash
 from peerlens.operators import graph as GR
-from peerlens.operators import metrics as M
 from peerlens.operators import sets as S
 from peerlens.operators import tfidf as TF
 from peerlens.operators import wordvec as WV
 from peerlens.operators.outliers import panel
-from peerlens.operators.vectors import cos_to_centroid, dense_stats, pair_stats
+from peerlens.operators.vectors import dense_stats
+from peerlens.plans import graph as GP
 from peerlens.runtime import spread
 
 
@@ -193,33 +193,31 @@ def gra_metapath_walk(spark, sf):
     return w.select("o_custkey", "o_orderkey", "walk", F.array_join("path", ">").alias("path"))
 
 
-def walk_vectors(spark, sf, run, size=16):
-    """Vectors of papers from walks; walks stay in their group, so one model serves all groups."""
-    w = walks(spark, sf, 2, 2, seed=run).select("o_custkey", "o_orderkey", "path")
-    model = WV.train(w, "path", size=size, min_count=1, window=10, epochs=1, seed=run)
-    table = WV.vectors(model).select(F.col("word").cast("long").alias("o_orderkey"), "vector")
-    o = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    zeros = F.array_repeat(F.lit(0.0), size)
-    return o.join(table, "o_orderkey", "left").withColumn("vector", F.coalesce("vector", zeros))
+def _hops(spark, sf):
+    e = graph_edges(spark, sf)
+    return [GR.hop_table(e[k], "o_custkey", "o_orderkey") for k in ("author", "org")]
 
 
 @query("gra_walk_embed")
 def gra_walk_embed(spark, sf):
-    v = walk_vectors(spark, sf, 1)
+    papers = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    v = GP.walk_vectors(papers, _hops(spark, sf), "o_custkey", "o_orderkey", walks=2, steps=2, size=16, seed=1)
     return v.select("o_custkey", "o_orderkey", A.r6(A.norm("vector")).alias("length"))
 
 
 @query("gra_features")
 def gra_features(spark, sf):
-    runs = None
-    for run in (1, 2):
-        v = walk_vectors(spark, sf, run)
-        s = pair_stats(v, "o_custkey", "o_orderkey", "vector", "graph_cos")
-        c = cos_to_centroid(v, "o_custkey", "o_orderkey", "vector", "graph_cos_author")
-        block = s.join(c, ["o_custkey", "o_orderkey"])
-        runs = block if runs is None else runs.unionByName(block)
-    cols = [c for c in runs.columns if c.startswith("graph_")]
-    return M.average_runs(runs, ["o_custkey", "o_orderkey"], cols)
+    papers = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    text = WV.word_mean(order_sets(spark, sf), "o_orderkey", "elements", hash_elements(spark, sf), size=4)
+    block = GP.block_features(GP.pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v", detectors=False)
+    return GP.graph_features(
+        papers, _hops(spark, sf), "o_custkey", "o_orderkey", runs=2, walks=2, steps=2, size=16, text_block=block, detectors=False
+    )
+
+
+def hash_elements(spark, sf):
+    s = t(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("word")).distinct()
+    return s.select("word", F.array(*[(portable_hash(i, "word") % 1000) / 500.0 - 1 for i in range(4)]).alias("vector"))
 
 
 # ---- word vectors --------------------------------------------------------------------------------

@@ -21,7 +21,8 @@ def top_per_key(df: DataFrame, key, order: list, k: int, rank: str = "rank") ->
     """First k rows per key. The limit is pushed below the shuffle, so a hot key sends k rows per task."""
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    first = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return first.withColumn(rank, F.col(rank).cast("long"))
 
 
 def knn_cosine(

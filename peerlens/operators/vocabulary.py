@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peerlens.functions.stem import stem
-from peerlens.operators.grouped import attach
+from peerlens.operators.grouped import as_list, attach
 from peerlens.runtime import pin
 
 
@@ -17,18 +19,26 @@ def stem_words(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
 
-def stem_tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Stem an array column: every distinct word is stemmed once, then joined back in order.
+def stem_tokens(df: DataFrame, key, columns: str | Sequence[str]) -> DataFrame:
+    """Stem array columns and drop tokens of one character: every distinct word is stemmed once, then joined back in order.
 
-    A frequent word is a hot join key and is split by the row key.
+    All columns share one vocabulary and one join; a frequent word is a hot join key and is split by
+    the row key. ``key`` must identify a row.
     """
+    keys, columns = as_list(key), as_list(columns)
     df = pin(df, "tokens")
-    long = df.select(key, F.posexplode(tokens).alias("_pos", "word"))
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("w")) for c in columns])).alias("_e")
+    long = df.select(*keys, fields).select(*keys, "_e.f", F.posexplode("_e.w").alias("_pos", "word"))
     counted = long.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocab = counted.repartition(tasks, "word").withColumn("_s", stem_words("word"))
-    joined = attach(long, vocab, "word", key)
-    ordered = F.sort_array(F.collect_list(F.struct("_pos", "_s")))
-    listed = joined.groupBy(key).agg(F.transform(ordered, lambda x: x["_s"]).alias("_l"))
-    kept = F.filter(F.coalesce("_l", F.array().cast("array<string>")), lambda w: F.length(w) > 1)
-    return df.join(listed, key, "left").withColumn(tokens, kept).drop("_l")
+    joined = attach(long, vocab, "word", keys)
+
+    def column(c):
+        found = F.collect_list(F.when(F.col("f") == c, F.struct("_pos", "_s")))
+        return F.transform(F.sort_array(found), lambda x: x["_s"]).alias(f"_l_{c}")
+
+    listed = joined.groupBy(*keys).agg(*[column(c) for c in columns])
+    none = F.array().cast("array<string>")
+    kept = {c: F.filter(F.coalesce(f"_l_{c}", none), lambda w: F.length(w) > 1) for c in columns}
+    return df.join(listed, keys, "left").withColumns(kept).drop(*[f"_l_{c}" for c in columns])

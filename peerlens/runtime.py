@@ -20,6 +20,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Sort-merge joins turn into hash joins where every build partition has been measured to be small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PEERLENS_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

@@ -166,3 +166,35 @@ def test_walks(spark):
 def test_chi2():
     assert O.chi2_quantile(0.5, 2) == pytest.approx(2 * math.log(2))
     assert O.chi2_quantile(0.975, 2) == pytest.approx(-2 * math.log(0.025))
+
+
+def test_clean_papers(spark):
+    from peerlens.plans import papers as PP
+    from peerlens.sources.readers import papers_schema
+
+    raw = spark.createDataFrame(
+        [
+            ("p1", "The New Cells in 2020s", None, ["Graph Theory", "cells"], [("Wei Zhang", "Lab of Networks, Univ 12"), ("", "")], "Nature", "0"),
+            ("p2", "", "null", [], [("John Ronald Reuel Tolkien", "Oxford")], None, "1999"),
+        ],
+        papers_schema(),
+    )
+    rows = {r["id"]: r for r in PP.clean_papers(raw).collect()}
+    assert rows["p1"]["title"] == ["new", "cell", "0s"] and rows["p1"]["keywords"] == ["graph", "theori", "cell"]
+    assert [tuple(a) for a in rows["p1"]["authors"]] == [("weizhang", "network"), ("NULL", "NULL")]
+    assert rows["p1"]["num_authors"] == 2 and rows["p1"]["year"] is None and rows["p1"]["a_lang"] == "Nothing"
+    assert rows["p1"]["t_lang"] == "en" and rows["p1"]["names"] == ["NULL", "weizhang"]
+    assert rows["p2"]["abstract"] == [] and rows["p2"]["year"] == 1999 and rows["p2"]["names"] == ["johnronaldreuel"]
+    light = {r["id"]: r for r in PP.clean_papers_light(raw).collect()}
+    assert light["p1"]["title"] == "the new cells in 0s" and light["p1"]["keywords"] == "graph theory,cells"
+    assert light["p1"]["authors"][0]["name"] == "wei zhang"
+    corpus = {r["id"]: r["tokens"] for r in PP.paper_corpus(PP.clean_papers(raw)).collect()}
+    assert corpus == {"p1": ["new", "cell", "0s", "graph", "theori", "cell", "natur"]}
+
+
+def test_members(spark):
+    from peerlens.plans import papers as PP
+
+    g = spark.createDataFrame([("a", "Wei Zhang", ["p1", "p2"], []), ("b", "X", [], ["p3"])], "id string, name string, normal_data array<string>, outliers array<string>")
+    got = sorted((r["author_id"], r["name"], r["paper_id"], r["label"]) for r in PP.members(g).collect())
+    assert got == [("a", "weizhang", "p1", 1), ("a", "weizhang", "p2", 1), ("b", "x", "p3", 0)]
