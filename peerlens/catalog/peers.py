@@ -13,9 +13,8 @@ from peerlens.operators import graph as GR
 from peerlens.operators import sets as S
 from peerlens.operators import tfidf as TF
 from peerlens.operators import wordvec as WV
-from peerlens.operators.outliers import panel
-from peerlens.operators.vectors import dense_stats
 from peerlens.plans import graph as GP
+from peerlens.plans import membership as MB
 from peerlens.runtime import spread
 
 
@@ -243,10 +242,12 @@ def w2v_synonyms(spark, sf):
 
 @query("w2v_features")
 def w2v_features(spark, sf):
-    d, table = doc_tokens(spark, sf), WV.vectors(_model(spark, sf))
-    v = WV.word_mean(d, "doc_id", "tokens", table, size=32).select("source", "doc_id", "vector")
-    stats = dense_stats(v, "source", "doc_id", "vector", "w2v")
-    return stats.join(panel(v, "source", "doc_id", "vector", "w2v", contamination=0.1, rounds=2), ["source", "doc_id"])
+    table = MB.pin(WV.vectors(_model(spark, sf)), "words")
+    title = X.tokens(X.clean(F.substring_index("text", "\n", 1)), X.STOP_WORDS)
+    d = t(spark, sf, "documents").select("source", "doc_id", "text")
+    d = MB.pin(spread(d).select("source", "doc_id", title.alias("title"), X.tokens(X.clean("text"), X.STOP_WORDS).alias("everything")), "tokens")
+    fields = {"title": "title", "all": "everything"}
+    return MB.word_vector_blocks(d, "source", "doc_id", fields, table, size=32, detectors=("all",), rounds=2)
 
 
 _HASHV = "[" + ", ".join(f"({sql_hash(i, 'word')} % 1000) / 500.0::DOUBLE - 1" for i in range(4)) + "]"

@@ -41,14 +41,26 @@ def attach(
     ceil(size/split_rows) parts and its stats row is copied once per part. The list of such keys is
     at most total_rows/split_rows long, which is what makes its broadcast safe.
     """
-    keys, spread = as_list(keys), as_list(spread_by)
+    keys = as_list(keys)
+    salted = salt_rows(rows, stats, keys, spread_by, size=size, split_rows=split_rows)
+    return salted.join(salt_copies(stats, size=size, split_rows=split_rows), keys + ["_salt"], how).drop("_salt")
+
+
+def salt_rows(
+    rows: DataFrame, stats: DataFrame, keys, spread_by, *, size: str = "_n", split_rows: int = SPLIT_ROWS
+) -> DataFrame:
+    """The row side of ``attach``: adds ``_salt``. Loops salt their rows once and join new stats every round."""
+    keys = as_list(keys)
     parts = F.ceil(F.col(size) / F.lit(split_rows)).cast("int")
     hot = stats.where(F.col(size) > split_rows).select(*keys, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
-    )
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return salted.join(copies, keys + ["_salt"], how).drop("_salt", "_parts")
+    salt = F.pmod(F.xxhash64(*as_list(spread_by)), F.coalesce("_parts", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+
+
+def salt_copies(stats: DataFrame, *, size: str = "_n", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The stats side of ``attach``: one copy of a key's row per part of the key."""
+    parts = F.ceil(F.col(size) / F.lit(split_rows)).cast("int")
+    return stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
 
 
 def _has_hot(rows: DataFrame, keys: list[str], split_rows: int) -> bool:
