@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peerlens.catalog.base import query, t
-from peerlens.operators.grouped import group_ranks  # noqa: F401
 from peerlens.runtime import scratch_path
 from peerlens.sources import readers as R
 from peerlens.sources import sinks as S

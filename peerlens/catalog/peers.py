@@ -15,7 +15,7 @@ from peerlens.operators import tfidf as TF
 from peerlens.operators import wordvec as WV
 from peerlens.plans import graph as GP
 from peerlens.plans import membership as MB
-from peerlens.runtime import spread
+from peerlens.runtime import pin, spread
 
 
 def order_sets(spark, sf):
@@ -208,7 +208,7 @@ def gra_walk_embed(spark, sf):
 def gra_features(spark, sf):
     papers = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
     text = WV.word_mean(order_sets(spark, sf), "o_orderkey", "elements", hash_elements(spark, sf), size=4)
-    block = GP.block_features(GP.pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v", detectors=False)
+    block = GP.block_features(pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v", detectors=False)
     return GP.graph_features(
         papers, _hops(spark, sf), "o_custkey", "o_orderkey", runs=2, walks=2, steps=2, size=16, text_block=block, detectors=False
     )
@@ -242,10 +242,10 @@ def w2v_synonyms(spark, sf):
 
 @query("w2v_features")
 def w2v_features(spark, sf):
-    table = MB.pin(WV.vectors(_model(spark, sf)), "words")
+    table = pin(WV.vectors(_model(spark, sf)), "words")
     title = X.tokens(X.clean(F.substring_index("text", "\n", 1)), X.STOP_WORDS)
     d = t(spark, sf, "documents").select("source", "doc_id", "text")
-    d = MB.pin(spread(d).select("source", "doc_id", title.alias("title"), X.tokens(X.clean("text"), X.STOP_WORDS).alias("everything")), "tokens")
+    d = pin(spread(d).select("source", "doc_id", title.alias("title"), X.tokens(X.clean("text"), X.STOP_WORDS).alias("everything")), "tokens")
     fields = {"title": "title", "all": "everything"}
     return MB.word_vector_blocks(d, "source", "doc_id", fields, table, size=32, detectors=("all",), rounds=2)
 

@@ -48,7 +48,7 @@ def _local_root() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/peerlens/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/peerlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame, name: str = "pin") -> DataFrame:
