@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "quality", "simhash")
+MODULES = ("mixing", "quality", "urlfilter", "simhash")
 
 
 def load() -> tuple[dict, dict]:
