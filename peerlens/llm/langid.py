@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import aside, crc_share, streams, table, text_bytes
+from peerlens.llm.common import aside, crc_share, streams, table
 
 NGRAMS = (3, 4, 5)
 LANDMARKS, LANDMARK_BYTES = 8, 20_000
@@ -33,9 +33,8 @@ _PIECE = 1 << 20
 
 
 def grams(text: bytes) -> np.ndarray:
-    """Distinct n-grams as sorted numbers: the bytes of the n-gram, and n above them."""
+    """Distinct n-grams of a lower-cased text as sorted numbers: the bytes of the n-gram, and n above them."""
     found = []
-    text = text.lower()
     for at in range(0, max(1, len(text)), _PIECE):
         piece = np.frombuffer(text[at : at + _PIECE + max(NGRAMS) - 1], np.uint8).astype(np.uint64)
         last = at + _PIECE >= len(text)
@@ -57,6 +56,10 @@ def _slot(keys: np.ndarray, level: int) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15 + 2 * level * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(64 - _TABLE_BITS)
 
 
+def _lower(column: pa.Array) -> list[bytes]:
+    return [(x or "").lower().encode() for x in column.to_pylist()]
+
+
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -135,7 +138,7 @@ def fit(train: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridg
     # Landmarks: the first in hash order among texts of a bounded length, longer than a few words where there are any.
     size = F.octet_length("text")
     ordered = rows.where(size <= landmark_bytes).select("lang", "text", F.struct(F.when(size >= 200, 0).otherwise(1).alias("s"), F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("h")).alias("o"))
-    sets = [grams(t.encode()) for _, t in sorted(_first_by(ordered, landmarks))]
+    sets = [grams(t.lower().encode()) for _, t in sorted(_first_by(ordered, landmarks))]
     if not sets:
         sets = [np.zeros(0, np.uint64)]
     vocabulary = np.unique(np.concatenate(sets))
@@ -148,12 +151,15 @@ def fit(train: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridg
     root = vector * (1 / np.sqrt(np.maximum(value, 1e-6)))
     model = Model(languages, vocabulary, np.packbits(presence.astype(bool), axis=1), sizes, root, np.zeros((len(sets) + 1, len(languages))))
     width = len(sets) + 1 + len(languages)
+    # Each language weighs the same, however many rows it has.
+    weight = {lang: sample / min(sample, n) for lang, n in counts.items()}
 
     def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for part in parts:
             y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang in part.column(1).to_pylist()]).reshape(-1, len(languages))
-            x = np.hstack([model.features(text_bytes(part.column(0))), np.ones((len(y), 1)), y])
+            x = np.hstack([model.features(_lower(part.column(0))), np.ones((len(y), 1)), y])
+            x *= np.sqrt([[weight[lang]] for lang in part.column(1).to_pylist()])
             total += x.T @ x
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
@@ -185,7 +191,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             score = np.zeros(part.num_rows)
             at = np.nonzero(letter)[0]
             if model is not None and len(at):
-                out = model.scores(text_bytes(part.column(1).take(pa.array(at))))
+                out = model.scores(_lower(part.column(1).take(pa.array(at))))
                 soft = np.exp(3 * (out - out.max(axis=1, keepdims=True)))
                 lang[at] = np.array(model.languages, object)[out.argmax(axis=1)]
                 score[at] = 1 / soft.sum(axis=1)
