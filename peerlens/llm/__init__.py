@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "mixing", "quality", "urlfilter", "simhash")
+MODULES = ("langid", "mixing", "quality", "decontam", "urlfilter", "simhash")
 
 
 def load() -> tuple[dict, dict]:
