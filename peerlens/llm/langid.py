@@ -182,7 +182,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     Null texts, texts without a letter and an empty model give ``und`` with score 0. The score is the winner's share
     of exp(3 * output). Of equal outputs the alphabetically first language wins. Repeated rows get equal results.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"), *keep)
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+
+    names = ["doc_id", *(f"keep_{i}" for i in range(len(keep)))]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -195,10 +197,19 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 soft = np.exp(3 * (out - out.max(axis=1, keepdims=True)))
                 lang[at] = np.array(model.languages, object)[out.argmax(axis=1)]
                 score[at] = 1 / soft.sum(axis=1)
-            yield pa.record_batch([part.column(0), *part.columns[3:], pa.array(lang.tolist(), pa.string()), pa.array(score)], ["doc_id", *keep, "lang_pred", "score"])
+            yield pa.record_batch([part.column(0), *part.columns[3:], pa.array(lang.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+
+    fields = ", ".join(f"{n} {read.schema[n].dataType.simpleString()}" for n in names)
+    found = streams(read, run, f"{fields}, lang_pred string, score double")
+    return found.select("doc_id", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+
 
-    fields = ", ".join(f"{n} {read.schema[n].dataType.simpleString()}" for n in ("doc_id", *keep))
-    return streams(read, run, f"{fields}, lang_pred string, score double")
+def keep_recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Documents with a recognised language, with their own columns; without a model those with a letter."""
+    if model is None:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "lang_pred", "score")]
+    return identify(docs.select("doc_id", *rest), model, keep=tuple(rest)).where(F.col("lang_pred") != UNKNOWN).select(*[c for c in docs.columns if c in rest or c == "doc_id"])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
