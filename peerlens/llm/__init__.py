@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "mixing", "quality", "pii", "decontam", "urlfilter", "simhash")
+MODULES = ("langid", "license_scan", "mixing", "quality", "pii", "decontam", "urlfilter", "simhash")
 
 
 def load() -> tuple[dict, dict]:
