@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from peerlens.llm.common import aside, crc_share, streams, table, text_bytes
 
 DEPTH = 5
-MIN_SHARE = 5e-5
+MIN_SHARE = 1e-5
 #: A context is kept if its divergence is at least this (nats per symbol) and more than chance would give.
 MIN_DIVERGENCE = 0.01
 #: Text bytes per chunk, and positions counted at once.
@@ -106,10 +106,10 @@ def symbol_counts(train: DataFrame, depth: int = DEPTH, text_col: str = "text")
         yield _rows(keys, counts)
 
     def _rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array((keys >> np.uint64(9)).astype(np.int64)), pa.array((keys & np.uint64(511)).astype(np.int32)), pa.array(counts)], ["context", "symbol", "n"])
+        return pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts)], ["key", "n"])
 
-    counted = streams(train.select(F.col(text_col).cast("string").alias("text")), run, "context long, symbol int, n long")
-    return counted.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    counted = streams(train.select(F.col(text_col).cast("string").alias("text")), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted.select(F.shiftright("key", 9).alias("context"), F.col("key").bitwiseAND(F.lit(511)).cast("int").alias("symbol"), "n")
 
 
 def _pieces(text: bytes, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
