@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "license_scan", "mixing", "suffix_tree", "quality", "pii", "decontam", "urlfilter", "simhash")
+MODULES = ("langid", "license_scan", "mixing", "suffix_tree", "suffix_dedup", "quality", "pii", "decontam", "urlfilter", "simhash")
 
 
 def load() -> tuple[dict, dict]:
