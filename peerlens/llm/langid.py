@@ -208,8 +208,9 @@ def keep_recognised(docs: DataFrame, model: Model | None) -> DataFrame:
     """Documents with a recognised language, with their own columns; without a model those with a letter."""
     if model is None:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "lang_pred", "score")]
-    return identify(docs.select("doc_id", *rest), model, keep=tuple(rest)).where(F.col("lang_pred") != UNKNOWN).select(*[c for c in docs.columns if c in rest or c == "doc_id"])
+    own = {f"own_{i}": c for i, c in enumerate(docs.columns)}
+    found = identify(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in own.items()]), model, keep=tuple(own))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(k).alias(c) for k, c in own.items()])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -219,8 +219,8 @@ def fit(counts: dict[str, int], rounds: int = 50, prior: float = 0.5) -> Model:
                 seen = np.bincount(vote[:, i], weights=w, minlength=3) + 10 * start[i, k]
                 rely[i, k] = seen / seen.sum()
         share = float(np.clip((n @ post + 1) / (n.sum() + 2), 0.05, 0.95))
-    x = np.array([_features(p) for p in patterns]).reshape(len(patterns), -1)
     width = 1 + len(KINDS) + 2 * LABELERS + 5
+    x = np.array([_features(p) for p in patterns]).reshape(len(patterns), width)
     weights = np.zeros(width)
     # A few counted votes of single labelers keep the classifier defined where the corpus has no pattern.
     calm = np.vstack([x, np.eye(width)[1 + len(KINDS) : 1 + len(KINDS) + 2 * LABELERS] + np.eye(width)[0]])
