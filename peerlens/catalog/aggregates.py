@@ -47,14 +47,16 @@ def _rounded(df, keys, cols):
 @query(
     "agg_collect_list",
     """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
-       SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS items, count(*) AS n FROM r WHERE rn <= 100 GROUP BY o_custkey""",
+       SELECT o_custkey, (rn - 1) // 1000 AS part, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS items, count(*) AS n FROM r GROUP BY ALL""",
 )
 def agg_collect_list(spark, sf):
     o = t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    best = N.top_per_key(o, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], 100)
+    # The whole list of a key, in ordered parts of bounded size.
+    placed = G.group_ranks(o, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey")
     ordered = F.sort_array(F.collect_list(F.struct("rank", F.col("o_orderkey").cast("string").alias("i"))))
-    lists = best.groupBy("o_custkey").agg(ordered.alias("l"), F.count(F.lit(1)).alias("n"))
-    return lists.select("o_custkey", F.array_join(F.transform("l", lambda x: x["i"]), ",").alias("items"), "n")
+    part = F.floor((F.col("rank") - 1) / 1000).alias("part")
+    lists = placed.groupBy("o_custkey", part).agg(ordered.alias("l"), F.count(F.lit(1)).alias("n"))
+    return lists.select("o_custkey", "part", F.array_join(F.transform("l", lambda x: x["i"]), ",").alias("items"), "n")
 
 
 @query(
@@ -141,8 +143,8 @@ def agg_group_delta(spark, sf):
 def agg_negative_count(spark, sf):
     o = t(spark, sf, "orders").select("o_custkey", (F.col("o_orderstatus") != "F").cast("long").alias("neg"))
     per = o.groupBy("o_custkey").agg(F.sum("neg").alias("negatives"))
-    everything = o.agg(F.sum("neg").alias("s")).first()["s"]
-    return per.withColumn("all_negatives", F.lit(everything).cast("long"))
+    everything = o.agg(F.sum("neg").alias("all_negatives")).withColumn("_one", F.lit(1))
+    return per.withColumn("_one", F.lit(1)).join(everything, "_one").drop("_one")
 
 
 @query(

@@ -206,12 +206,13 @@ def prj_noise_columns(spark, sf):
 # ---- unions and reshaping ------------------------------------------------------------------------
 
 _TURNS = """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations),
 conv AS (SELECT conv_id,
-                max(CASE WHEN turn = 0 THEN text END) AS question,
-                max(CASE WHEN turn = 2 THEN text END) AS body,
-                coalesce(max(CASE WHEN turn = 1 THEN text END), '') AS answer,
-                coalesce(max(CASE WHEN turn = 3 THEN text END), '') AS summary
-         FROM conversations GROUP BY conv_id)"""
+                max(CASE WHEN role = 'user' AND nth = 1 THEN text END) AS question,
+                string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role NOT IN ('user', 'assistant') OR role = 'user' AND nth > 1) AS body,
+                coalesce(max(CASE WHEN role = 'assistant' AND nth = 1 THEN text END), '') AS answer,
+                coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND nth > 1), '') AS summary
+         FROM ranked GROUP BY conv_id)"""
 _T = "'<title> ' || title || ' <abstract> ' || abstract"
 _Q, _B = "'<question> ' || question", f"'<body> ' || {remove_links_sql('body')}"
 _A, _S = "'<llm answer> ' || answer", "'<llm summarize> ' || summary"
@@ -228,13 +229,24 @@ _VIEWS_SQL = {
 
 
 def question_rows(spark, sf):
-    """Questions, bodies and generated texts from the turns of each conversation."""
-    text = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
-    return t(spark, sf, "conversations").groupBy("conv_id").agg(
-        text(0).alias("question"),
-        text(2).alias("body"),
-        F.coalesce(text(1), F.lit("")).alias("answer"),
-        F.coalesce(text(3), F.lit("")).alias("summary"),
+    """Questions, bodies and generated texts from the turns of each conversation.
+
+    The first user turn asks, the first assistant turn answers; all other assistant turns are the summary, all other
+    turns the body, in order.
+    """
+    turns = t(spark, sf, "conversations").where(F.col("text").isNotNull())
+    firsts = {r: F.min(F.when(F.col("role") == r, F.col("turn"))).alias(r) for r in ("user", "assistant")}
+    said = turns.groupBy("conv_id").agg(*firsts.values(), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    pick = lambda keep: F.transform(F.filter("said", keep), lambda x: x["text"])
+    joined = lambda keep: F.when(F.size(pick(keep)) > 0, F.array_join(pick(keep), "\n"))
+    first = lambda role: joined(lambda x: (x["role"] == role) & (x["turn"] == F.col(role)))
+    later = lambda role: (lambda x: (x["role"] == role) & (x["turn"] > F.col(role)))
+    return said.select(
+        "conv_id",
+        first("user").alias("question"),
+        joined(lambda x: ~x["role"].isin("user", "assistant") | later("user")(x)).alias("body"),
+        F.coalesce(first("assistant"), F.lit("")).alias("answer"),
+        F.coalesce(joined(later("assistant")), F.lit("")).alias("summary"),
     )
 
 

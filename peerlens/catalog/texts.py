@@ -183,7 +183,7 @@ _VOTES = ", ".join(f"('{w}', '{lang}')" for lang, ws in L.FUNCTION_WORDS.items()
         w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
         c AS (SELECT doc_id, votes.lang, count(*) AS n FROM w JOIN votes ON w.word = votes.word GROUP BY doc_id, votes.lang),
         b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS rn FROM c)
-        SELECT d.doc_id, d.lang, CASE WHEN length(trim(d.text)) = 0 THEN 'Nothing' ELSE coalesce(b.lang, 'Other') END AS language
+        SELECT d.doc_id, d.lang, CASE WHEN length(trim(d.text)) = 0 THEN 'Nothing' WHEN regexp_matches(d.text, '[\x{{3040}}-\x{{30FF}}]') THEN 'ja' WHEN regexp_matches(d.text, '[\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}]') THEN 'zh' ELSE coalesce(b.lang, 'Other') END AS language
         FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND b.rn = 1""",
 )
 def txt_language(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.functions import text as X
@@ -18,27 +18,29 @@ FUNCTION_WORDS = {
     "ru": "и в не на что с по как это из у за от так к но для же то его",
 }
 KNOWN = ["en", "de", "zh", "fr", "es", "ru", "it"]
+# Unicode blocks of the scripts that decide a language.
+HAN, KANA = r"[\u3400-\u4DBF\u4E00-\u9FFF]", r"[\u3040-\u30FF]"
 
 
-def word_votes(spark: SparkSession) -> DataFrame:
-    """(word, lang): a fixed table of a few hundred rows."""
-    rows = [(w, lang) for lang, ws in FUNCTION_WORDS.items() for w in ws.split()]
-    return spark.createDataFrame(rows, "word string, lang string")
+def votes(words) -> Column:
+    """Per language that has any of its function words among ``words``: (minus their number, language), smallest first."""
+    every = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
+    count = lambda own, lang: F.struct((-F.size(F.filter(own, lambda w: w.isin(*FUNCTION_WORDS[lang].split())))).alias("n"), F.lit(lang).alias("lang"))
+    # The lambda holds the few function words of the text, so that they are picked once and counted six times.
+    counted = F.transform(F.array(F.filter(words, lambda w: w.isin(*every))), lambda own: F.array(*[count(own, lang) for lang in FUNCTION_WORDS]))
+    return F.filter(F.element_at(counted, 1), lambda v: v["n"] < 0)
 
 
 def detect(df: DataFrame, key: str, text: str, name: str = "language") -> DataFrame:
-    """Add the language: ``Nothing`` for empty text, by script for Han, else the most voted (ties by name), else ``Other``."""
+    """Add the language: ``Nothing`` for empty text, ``ja`` with kana, ``zh`` with other Han, else the most voted (ties by name), else ``Other``.
+
+    All inside the row; nothing is shuffled.
+    """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    long = spread(df.select(key, text)).select(key, F.explode(words).alias("word"))
-    votes = long.join(F.broadcast(word_votes(df.sparkSession)), "word").groupBy(key, "lang").agg(F.count(F.lit(1)).alias("n"))
-    winner = votes.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("_w"))
-    return (
-        df.join(winner, key, "left")
-        .withColumn(
-            name,
-            F.when(F.coalesce(F.length(X.trim_all(text)), F.lit(0)) == 0, "Nothing")
-            .when(X.has_cjk(text), "zh")
-            .otherwise(F.coalesce("_w", F.lit("Other"))),
-        )
-        .drop("_w")
+    found = (
+        F.when(F.coalesce(F.length(X.trim_all(text)), F.lit(0)) == 0, "Nothing")
+        .when(F.col(text).rlike(KANA), "ja")
+        .when(F.col(text).rlike(HAN), "zh")
+        .otherwise(F.coalesce(F.array_min(votes(words))["lang"], F.lit("Other")))
     )
+    return spread(df).withColumn(name, found)

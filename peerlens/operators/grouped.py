@@ -83,30 +83,10 @@ def dense_index(
 ) -> DataFrame:
     """Number the rows of each key 0..n-1 (``index``) and add n (``size``).
 
-    Keys up to ``split_rows`` rows are numbered in ``item`` order. A larger key is cut into hash
-    chunks of bounded size; each chunk is numbered on its own and shifted by the rows before it.
+    Every key is numbered in ``item`` order, whatever its size (see ``group_ranks``).
     """
-    keys = as_list(keys)
-    if not _has_hot(rows, keys, split_rows):
-        w = Window.partitionBy(*keys)
-        return rows.withColumn(index, (F.row_number().over(w.orderBy(item)) - 1).cast("long")).withColumn(
-            size, F.count(F.lit(1)).over(w)
-        )
-    counted = with_group_stats(rows, keys, item, [], split_rows=split_rows)
-    chunked = counted.withColumn(
-        "_chunk", F.pmod(F.xxhash64(item), F.ceil(F.col("_n") / F.lit(split_rows))).cast("int")
-    )
-    chunk_sizes = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = chunk_sizes.withColumn("_shift", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(item)
-    numbered = chunked.withColumn("_rn", F.row_number().over(local) - 1)
-    return (
-        numbered.join(shifts.drop("_c"), keys + ["_chunk"])
-        .withColumn(index, (F.col("_rn") + F.col("_shift")).cast("long"))
-        .withColumnRenamed("_n", size)
-        .drop("_rn", "_shift", "_chunk")
-    )
+    ranked = group_ranks(rows, keys, [F.col(item)], item, rank=index, split_rows=split_rows)
+    return ranked.withColumn(index, F.col(index) - 1).withColumnRenamed("_n", size)
 
 
 def hash_rank(
@@ -307,13 +287,14 @@ def average_ranks(df: DataFrame, group: str, value: str, key, name: str) -> Data
 
     Equal values are counted first, so copies cost one row, and only distinct values are sorted.
     """
-    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
     before = running_totals(counts, [F.col(group), F.col(value)], {"_before": "_n"})
     start = before.groupBy(group).agg(F.sum("_n").alias("_size"), F.min("_before").alias("_start"))
     placed = attach(before, start, group, value, size="_size")
     rank = F.col("_before") - F.col("_start") + (F.col("_n") + 1) / 2
     ranks = placed.select(group, value, "_n", rank.cast("double").alias(name))
-    return attach(df, ranks, [group, value], key).drop("_n")
+    # A row without a value has no rank, but stays.
+    return attach(df, ranks, [group, value], key, how="left").drop("_n")
 
 
 def group_delta(df: DataFrame, group, key, cols: Sequence[str]) -> DataFrame:

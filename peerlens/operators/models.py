@@ -103,12 +103,12 @@ def hashing_encoder(size: int = 64) -> Callable[[], Callable[[list[str]], np.nda
 
 def batch_infer(
     df: DataFrame, key: str, text: str, make: Callable[[], Callable], *, batch: int = 64, name: str = "vector",
-    returns: T.DataType | None = None,
+    returns: T.DataType | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Run a model over a text column in batches. ``make`` loads the model once per task; the function it
-    returns takes a list of texts and gives one output per text."""
+    returns takes a list of texts and gives one output per text. The columns in ``keep`` are passed through."""
     out_type = returns or T.ArrayType(T.DoubleType())
-    schema = T.StructType([df.schema[key], T.StructField(name, out_type)])
+    schema = T.StructType([df.schema[key], *[df.schema[c] for c in keep], T.StructField(name, out_type)])
 
     def run(frames):
         infer = make()
@@ -116,6 +116,6 @@ def batch_infer(
             texts, out = pdf[text].tolist(), []
             for lo in range(0, len(texts), batch):
                 out.extend(list(infer(texts[lo : lo + batch])))
-            yield pd.DataFrame({key: pdf[key], name: out})
+            yield pd.DataFrame({key: pdf[key], **{c: pdf[c] for c in keep}, name: out})
 
-    return spread(df.select(key, text)).mapInPandas(run, schema)
+    return spread(df.select(key, text, *[c for c in keep if c != text])).mapInPandas(run, schema)

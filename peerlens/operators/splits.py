@@ -23,16 +23,22 @@ def group_shuffle(df: DataFrame, group: str, test: float = 0.3, seed=85, name: s
     return df.withColumn(name, (unit_hash(seed, group) < test).cast("int"))
 
 
+def _classes(df: DataFrame, label: str) -> DataFrame:
+    """Adds the class as text; rows without a label are a class of their own."""
+    text = F.col(label).cast("string")
+    return df.withColumn("_class", F.when(text.isNull(), "-").otherwise(F.concat(F.lit("+"), text)))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.1, seed=1, name: str = "is_valid") -> DataFrame:
     """1 for exactly floor(share * n) rows of each class."""
-    ranked = hash_rank(df.withColumn("_h", portable_hash(seed, key)), label, key, "_h", rank="_r")
-    return ranked.withColumn(name, (F.col("_r") < F.floor(F.col("_n") * share)).cast("int")).drop("_r", "_n", "_h")
+    ranked = hash_rank(_classes(df, label).withColumn("_h", portable_hash(seed, key)), "_class", key, "_h", rank="_r")
+    return ranked.withColumn(name, (F.col("_r") < F.floor(F.col("_n") * share)).cast("int")).drop("_r", "_n", "_h", "_class")
 
 
 def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed=92, name: str = "fold") -> DataFrame:
     """Folds of equal size within each class."""
-    ranked = hash_rank(df.withColumn("_h", portable_hash(seed, key)), label, key, "_h", rank="_r")
-    return ranked.withColumn(name, F.col("_r") % k).drop("_r", "_n", "_h")
+    ranked = hash_rank(_classes(df, label).withColumn("_h", portable_hash(seed, key)), "_class", key, "_h", rank="_r")
+    return ranked.withColumn(name, F.col("_r") % k).drop("_r", "_n", "_h", "_class")
 
 
 def negative_downsample(df: DataFrame, query: str, key: str, target: str, keep: float = 0.05, seed=42) -> DataFrame:

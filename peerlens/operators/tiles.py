@@ -15,10 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from peerlens.operators.grouped import as_list, grouped_map, with_group_stats
-from peerlens.runtime import pin
 
 TILE_ROWS = 2048
 DIGITS = 12
@@ -80,7 +78,11 @@ def tile_map(
 
 
 def matrix(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
+    """Rows of vectors; a NULL vector is a row of NaN, so that all its measures are NaN: it has no partner."""
+    values = col.to_numpy()
+    width = next((len(v) for v in values if v is not None), 1)
+    none = np.full(width, np.nan)
+    return np.stack([none if v is None else np.asarray(v, dtype=np.float64) for v in values])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,103 +189,173 @@ def order_values(
     *,
     measure: str,
     diagonal,
-    fan: int = 32,
-    rounds: int = 5,
-    keep: int = 8192,
+    block_rows: int = 1024,
 ) -> DataFrame:
     """Exact order statistics of each row's measures to its group, for groups of many tiles.
 
     ``state`` has one row per (group, key) with ``_cnt``, ``_min``, ``_max``; ``targets`` maps a name
-    to a 0-based rank expression over it. Rank intervals are narrowed by counting below ``fan``
-    thresholds per pass (only counts leave a tile) until at most ``keep`` values are left in every
-    interval; those are then read as runs of equal values.
+    to a 0-based rank expression over it. A task unit holds one tile and sees all rows of the group
+    three times, block by block: it counts in equal bins of the row's range, then in finer bins of
+    the one bin that holds the rank, and then keeps the few values left there. Only one value per row and target
+    leaves a unit, and its memory follows the tile and the bins, not the group.
     """
     names = list(targets)
-    cur = state.select(
-        group,
-        key,
-        *[targets[t].cast("long").alias(f"_r_{t}") for t in names],
-        *[F.col("_min").alias(f"_lo_{t}") for t in names],
-        *[F.col("_max").alias(f"_hi_{t}") for t in names],
-        *[F.lit(0).cast("long").alias(f"_bl_{t}") for t in names],
-        *[F.col("_cnt").alias(f"_in_{t}") for t in names],
-    )
-    base = tiles.select(group, key, "_n", "_nt", "_tile", vec)
-    bounds = [f"_{p}_{t}" for t in names for p in ("lo", "hi")]
-
-    def count_below(own, oth, same):
-        s = np.sort(pair_values(own, oth, same, vec, measure, diagonal), axis=1)
-        cols = []
-        for t in names:
-            lo, hi = own[f"_lo_{t}"].to_numpy(float), own[f"_hi_{t}"].to_numpy(float)
-            edges = _edges(lo, hi, fan)
-            cols.append([np.searchsorted(s[i], edges[i], "left").tolist() for i in range(len(own))])
-        return cols
-
-    for _ in range(rounds):
-        widest = cur.agg(F.max(F.greatest(*[F.col(f"_in_{t}") for t in names], F.lit(0)))).first()[0]
-        if widest is None or widest <= keep:
-            break
-        fields = [T.StructField(t, T.ArrayType(_L)) for t in names]
-        counts = tile_map(base.join(cur, [group, key]), group, key, [vec, *bounds], count_below, fields)
-        merged = counts.groupBy(group, key).agg(
-            *[F.array(*[F.sum(F.col(t)[i]) for i in range(fan - 1)]).alias(f"_c_{t}") for t in names]
-        )
-        cur = cur.join(merged, [group, key])
-        for t in names:
-            cur = _narrow(cur, t, fan)
-        cur = pin(cur.drop(*[f"_c_{t}" for t in names]), "ranks")
-
-    def runs(own, oth, same):
-        s = np.sort(pair_values(own, oth, same, vec, measure, diagonal), axis=1)
-        cols = []
-        for t in names:
-            lo, hi = own[f"_lo_{t}"].to_numpy(float), own[f"_hi_{t}"].to_numpy(float)
-            col = []
-            for i in range(len(own)):
-                part = s[i, np.searchsorted(s[i], lo[i], "left") : np.searchsorted(s[i], hi[i], "right")]
-                v, n = np.unique(part, return_counts=True)
-                col.append([{"v": float(x), "n": int(m)} for x, m in zip(v, n)])
-            cols.append(col)
-        return cols
-
-    run_t = T.ArrayType(T.StructType([T.StructField("v", _D), T.StructField("n", _L)]))
-    parts = tile_map(
-        base.join(cur, [group, key]), group, key, [vec, *bounds], runs, [T.StructField(t, run_t) for t in names]
-    )
-    long = parts.select(
-        group, key, F.explode(F.create_map(*[x for t in names for x in (F.lit(t), F.col(t))])).alias("_t", "_runs")
-    ).select(group, key, "_t", F.explode("_runs").alias("_x"))
-    values = long.groupBy(group, key, "_t", F.col("_x.v").alias("_v")).agg(F.sum("_x.n").alias("_m"))
-    upto = Window.partitionBy(group, key, "_t").orderBy("_v")
-    rank = F.create_map(*[x for t in names for x in (F.lit(t), F.col(f"_r_{t}") - F.col(f"_bl_{t}"))])
-    placed = values.withColumn("_upto", F.sum("_m").over(upto)).join(cur.select(group, key, rank.alias("_ranks")), [group, key])
-    at = F.col("_ranks")[F.col("_t")]
-    hit = placed.where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_m")))
-    return hit.groupBy(group, key).agg(*[F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(t) for t in names])
-
-
-def _edges(lo: np.ndarray, hi: np.ndarray, fan: int) -> np.ndarray:
-    return lo[:, None] + (hi - lo)[:, None] * (np.arange(1, fan) / fan)[None, :]
-
-
-def _narrow(cur: DataFrame, t: str, fan: int) -> DataFrame:
-    """Shrink the interval of one target to the two thresholds around its rank."""
-    lo, hi, below, rank, inside = (F.col(f"_{p}_{t}") for p in ("lo", "hi", "bl", "r", "in"))
-    counts = F.col(f"_c_{t}")
-    passed = F.size(F.filter(counts, lambda c: c <= rank))
-    edge = lambda i: lo + (hi - lo) * (i / F.lit(float(fan)))
-    last = passed == fan - 1
-    new_below = F.when(passed > 0, F.element_at(counts, F.greatest(passed, F.lit(1)))).otherwise(below)
-    end = F.when(last, below + inside).otherwise(F.element_at(counts, F.least(passed + 1, F.lit(fan - 1))))
-    return cur.withColumns(
-        {
-            f"_lo_{t}": F.when(passed > 0, edge(passed)).otherwise(lo),
-            f"_hi_{t}": F.when(last, hi).otherwise(edge(passed + 1)),
-            f"_bl_{t}": new_below,
-            f"_in_{t}": end - new_below,
-        }
+    ranks = [f"_r_{t}" for t in names]
+    asked = state.select(group, key, *[targets[t].cast("long").alias(r) for t, r in zip(names, ranks)], "_min", "_max")
+    base = tiles.select(group, key, "_nt", "_tile", vec)
+    head = base.join(asked, [group, key]).withColumn("_u", F.col("_tile")).withColumn("_pass", F.lit(0))
+    blank = {"_min": F.lit(None).cast("double"), "_max": F.lit(None).cast("double")} | {r: F.lit(None).cast("long") for r in ranks}
+    body = (
+        base.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1)))
+        .withColumn("_pass", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+        .withColumns(blank)
     )
+    out = T.StructType([tiles.schema[group], tiles.schema[key]] + [T.StructField(t, _D) for t in names])
+
+    def run(batches):
+        unit = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            g, u = pdf[group].to_numpy(), pdf["_u"].to_numpy()
+            cuts = np.flatnonzero((g[1:] != g[:-1]) | (u[1:] != u[:-1])) + 1
+            for part in np.split(np.arange(len(pdf)), cuts):
+                name = (g[part[0]], u[part[0]])
+                if unit is None or unit.name != name:
+                    if unit is not None:
+                        yield unit.result(group, key, names)
+                    unit = _Selection(name, key, vec, ranks, measure, diagonal, block_rows)
+                unit.add(pdf.iloc[part])
+        if unit is not None:
+            yield unit.result(group, key, names)
+
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = head.unionByName(body).repartition(tasks, group, "_u").sortWithinPartitions(group, "_u", "_pass", key)
+    return ready.mapInPandas(run, out)
+
+
+class _Selection:
+    """Values at given ranks of the measures between one tile and a group that streams past it three times."""
+
+    COARSE, FINE = 1024, 256
+
+    def __init__(self, name, key: str, vec: str, ranks: list[str], measure: str, diagonal, block_rows: int):
+        self.name, self.key, self.vec, self.columns = name, key, vec, ranks
+        self.measure, self.diagonal, self.block_rows = measure, diagonal, block_rows
+        self.head: list[pd.DataFrame] = []
+        self.held: list[pd.DataFrame] = []
+        self.waiting, self.stage = 0, 0
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        stage = pdf["_pass"].to_numpy()
+        for s in np.unique(stage):
+            part = pdf[stage == s]
+            if s == 0:
+                self.head.append(part)
+                continue
+            if s != self.stage:
+                self._flush()
+                self._enter(int(s))
+            self.held.append(part)
+            self.waiting += len(part)
+            if self.waiting >= self.block_rows:
+                self._flush(whole=True)
+
+    def _flush(self, whole: bool = False) -> None:
+        """Work on the rows that wait, in blocks of a fixed size, so that each pass forms the same products."""
+        if not self.waiting:
+            return
+        rows = pd.concat(self.held)
+        end = len(rows) - len(rows) % self.block_rows if whole else len(rows)
+        for lo in range(0, end, self.block_rows):
+            self._block(rows.iloc[lo : min(end, lo + self.block_rows)])
+        self.held, self.waiting = [rows.iloc[end:]], len(rows) - end
+
+    def _enter(self, stage: int) -> None:
+        if stage == 1:
+            own = pd.concat(self.head)
+            self.keys, self.a = own[self.key].to_numpy(), matrix(own[self.vec])
+            self.rank = own[self.columns].to_numpy(float)
+            self.low = own["_min"].to_numpy(float)[:, None]
+            span = own["_max"].to_numpy(float)[:, None] - self.low
+            self.span = np.where(span > 0, span, 1.0)
+            self.coarse = np.zeros((len(own), self.COARSE), np.int64)
+        elif stage == 2:
+            self.bin1, self.rest = self._find(self.coarse, self.rank)
+            self.fine = np.zeros((len(self.columns), len(self.a), self.FINE), np.int64)
+        else:
+            self.bin2 = np.zeros_like(self.bin1)
+            for t in range(len(self.columns)):
+                self.bin2[:, t : t + 1], self.rest[:, t : t + 1] = self._find(self.fine[t], self.rest[:, t : t + 1])
+            self.left: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.columns]
+        self.stage = stage
+
+    @staticmethod
+    def _find(counts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin of each rank, and the rank inside it."""
+        upto = counts.cumsum(axis=1)
+        at = np.stack([(upto <= r[:, None]).sum(axis=1) for r in np.nan_to_num(rank, nan=0).T], axis=1)
+        at = np.minimum(at, counts.shape[1] - 1)
+        before = np.take_along_axis(np.concatenate((np.zeros((len(upto), 1), np.int64), upto), axis=1), at, axis=1)
+        return at, rank - before
+
+    def _block(self, rows: pd.DataFrame) -> None:
+        c = MEASURES[self.measure](self.a, matrix(rows[self.vec]))
+        if self.diagonal != "keep":
+            # A row meets itself only in its own tile.
+            mine = np.flatnonzero(rows["_tile"].to_numpy() == self.name[1])
+            same = self.keys[:, None] == rows[self.key].to_numpy()[mine][None, :]
+            i, j = np.nonzero(same)
+            c[i, mine[j]] = np.nan if self.diagonal is None else self.diagonal
+        ok = ~np.isnan(c)
+        place = np.where(ok, (c - self.low) / self.span, 0.0) * self.COARSE
+        bins = np.clip(place, 0, self.COARSE - 1).astype(np.int64)
+        bins[~ok] = -1
+        if self.stage == 1:
+            i, j = np.nonzero(ok)
+            self.coarse += np.bincount(i * self.COARSE + bins[i, j], minlength=self.coarse.size).reshape(self.coarse.shape)
+            return
+        for t in range(len(self.columns)):
+            i, j = np.nonzero(bins == self.bin1[:, t : t + 1])
+            inner = np.clip((place[i, j] - bins[i, j]) * self.FINE, 0, self.FINE - 1).astype(np.int64)
+            if self.stage == 2:
+                self.fine[t] += np.bincount(i * self.FINE + inner, minlength=self.fine[t].size).reshape(self.fine[t].shape)
+            else:
+                hit = inner == self.bin2[i, t]
+                self._keep(t, i[hit], c[i[hit], j[hit]], np.ones(int(hit.sum()), np.int64))
+
+    def _keep(self, t: int, row: np.ndarray, value: np.ndarray, times: np.ndarray) -> None:
+        """Equal values of a row are kept once with their number."""
+        parts = self.left[t]
+        parts.append((row, value, times))
+        if sum(len(p[0]) for p in parts[1:]) > max(1 << 18, len(parts[0][0])):
+            parts[:] = [self._runs(parts)]
+
+    @staticmethod
+    def _runs(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, value, times = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((value, row))
+        row, value, times = row[order], value[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))) if len(row) else np.zeros(0, int)
+        return row[first], value[first], np.add.reduceat(times, first) if len(first) else times
+
+    def result(self, group: str, key: str, names: list[str]) -> pd.DataFrame:
+        self._flush()
+        found = {}
+        for t, name in enumerate(names):
+            values = np.full(len(self.a), np.nan)
+            if self.left[t]:
+                row, value, times = self._runs(self.left[t])
+                if len(row):
+                    upto = np.cumsum(times)
+                    start = np.searchsorted(row, np.arange(len(self.a)))
+                    stop = np.searchsorted(row, np.arange(len(self.a)), "right")
+                    before = np.concatenate(([0], upto))[start]
+                    at = np.searchsorted(upto, before + np.nan_to_num(self.rest[:, t], nan=0), "right")
+                    some = (stop > start) & ~np.isnan(self.rank[:, t])
+                    values[some] = value[np.minimum(at, stop - 1)[some]]
+            found[name] = _clean(values)
+        return pd.DataFrame({group: [self.name[0]] * len(self.a), key: self.keys, **found})
 
 
 def pair_quantiles(

@@ -50,14 +50,15 @@ def candidates(
     qs: DataFrame, pas: DataFrame, encoder: Callable, *, retrieved: int = RETRIEVED, kept: int = KEPT
 ) -> DataFrame:
     """(q_id, pid, text, score, position): nearest passages of other folds, best passage per paper, first ``kept``."""
-    q = pin(MD.batch_infer(qs, "q_id", "query", encoder).join(qs.select("q_id", "fold"), "q_id"), "queries")
-    p = pin(MD.batch_infer(pas, "passage", "text", encoder).join(pas.select("passage", "pid", "fold"), "passage"), "passages")
+    q = pin(MD.batch_infer(qs, "q_id", "query", encoder, keep=["fold"]), "queries")
+    p = pin(MD.batch_infer(pas, "passage", "text", encoder, keep=["pid", "fold"]), "passages")
     near = N.knn_cosine(q, p, "q_id", "passage", "vector", "vector", retrieved, not_within=("fold", "fold"))
     owned = near.join(p.select(F.col("passage").alias("item"), "pid"), "item")
     best = W.keep_first(owned.select("q_id", "pid", "item", "score", "rank"), ["q_id", "pid"], [F.col("rank")])
     top = N.top_per_key(best.drop("score"), "q_id", [F.col("rank")], kept, rank="position")
     scored = top.join(best.select("q_id", "pid", "score"), ["q_id", "pid"])
-    terms = distinct_words(pas, "text").select(F.col("passage").alias("item"), "words", "n_words")
+    # Only the passages that were kept are split into words.
+    terms = distinct_words(pas.join(scored.select(F.col("item").alias("passage")).distinct(), "passage", "left_semi"), "text").select(F.col("passage").alias("item"), "words", "n_words")
     return scored.join(terms, "item").drop("item", "rank")
 
 

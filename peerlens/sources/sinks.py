@@ -37,8 +37,11 @@ def write_ranked_text(df: DataFrame, path: str, query: str, item: str, order: li
 
 
 def implode_map(df: DataFrame, group: str, item: str, value: str, *, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Rows to maps {item: value}: (group, part, map). A group beyond ``max_items`` gives several parts."""
-    placed = dense_index(df, group, item).withColumn("part", F.floor(F.col("idx") / max_items).cast("long"))
+    """Rows to maps {item: value}: (group, part, map). A group beyond ``max_items`` gives several parts, in item order over all parts.
+
+    Of a repeated (group, item) the largest value stays.
+    """
+    placed = dense_index(df.groupBy(group, item).agg(F.max(value).alias(value)), group, item).withColumn("part", F.floor(F.col("idx") / max_items).cast("long"))
     entries = F.sort_array(F.collect_list(F.struct(item, value)))
     return placed.groupBy(group, "part").agg(F.map_from_entries(entries).alias("map"))
 

@@ -6,17 +6,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens.functions import arrays as A
+from peerlens.functions import language as L
 from peerlens.functions import text as X
 from peerlens.functions.stem import stem
 from peerlens.operators import features as FE
 from peerlens.operators import graph as GR
 from peerlens.operators import grouped as G
 from peerlens.operators import metrics as M
+from peerlens.operators import neighbours as N
 from peerlens.operators import outliers as O
 from peerlens.operators import rows as W
 from peerlens.operators import sets as S
 from peerlens.operators import splits as SP
 from peerlens.operators import vectors as V
+from peerlens.sources import readers as RD
+from peerlens.sources import sinks as SI
 
 
 def one(spark, value, fn):
@@ -198,3 +202,45 @@ def test_members(spark):
     g = spark.createDataFrame([("a", "Wei Zhang", ["p1", "p2"], []), ("b", "X", [], ["p3"])], "id string, name string, normal_data array<string>, outliers array<string>")
     got = sorted((r["author_id"], r["name"], r["paper_id"], r["label"]) for r in PP.members(g).collect())
     assert got == [("a", "weizhang", "p1", 1), ("a", "weizhang", "p2", 1), ("b", "x", "p3", 0)]
+
+
+# ---- rows that must not be lost ---------------------------------------------------------------------
+
+
+def test_null_vectors_have_no_partner(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("a", 3, None), ("a", 4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "g string, i int, v array<double>")
+    for tile_rows in (2048, 2):
+        got = {r["i"]: r for r in V.pair_stats(df, "g", "i", "v", "c", tile_rows=tile_rows).collect()}
+        assert got[3]["c_max"] == 0.0 and got[1]["c_max"] == pytest.approx(0.5**0.5)
+    factors = {r["i"]: r["factor"] for r in O.local_outlier_factor(df, "g", "i", "v").collect()}
+    assert len(factors) == 4 and factors[3] is None
+    near = N.knn_cosine(df, df, "i", "i", "v", "v", 2, skip_same=True).collect()
+    assert 3 not in {r["i"] for r in near} | {r["item"] for r in near}
+    fitted = {r["i"]: r["loglik"] for r in O.mixture_loglik(df, "g", "i", "v", rounds=2).collect()}
+    assert len(fitted) == 4 and fitted[3] is None
+
+
+def test_null_values_and_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("a", 3, 2.0), ("a", 4, 1.0)], "g string, i int, x double")
+    assert {r["i"]: r["r"] for r in G.average_ranks(df, "g", "x", "i", "r").collect()} == {1: 2.5, 2: None, 3: 2.5, 4: 1.0}
+    assert SP.stratified_kfold(df, "x", "i", 2).count() == 4 and SP.stratified_split(df, "x", "i", 0.5).count() == 4
+
+
+def test_language_by_script(spark):
+    texts = ["ひらがな", "カタカナと日本", "日本 的", "the cat is in", "der und die", "", None, "xyz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["language"] for r in L.detect(df, "i", "t").collect()}
+    assert [got[i] for i in range(8)] == ["ja", "ja", "zh", "en", "de", "Nothing", "Nothing", "Other"]
+
+
+def test_single_json_object_file(spark, tmp_path):
+    path = tmp_path / "papers.json"
+    path.write_text('{\n "p1": {"title": "A",\n "abstract": null},\n "p2": {"title": "B"}\n}')
+    got = RD.read_json_map(spark, str(path), one_object_per_file=True).orderBy("pid").collect()
+    assert [tuple(r) for r in got] == [("p1", "A", None), ("p2", "B", None)]
+
+
+def test_repeated_items_keep_the_largest_value(spark):
+    df = spark.createDataFrame([("g", "a", 1.0), ("g", "a", 3.0), ("g", "b", 2.0)], "g string, i string, v double")
+    assert [r["map"] for r in SI.implode_map(df, "g", "i", "v").collect()] == [{"a": 3.0, "b": 2.0}]
