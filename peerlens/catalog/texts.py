@@ -106,7 +106,7 @@ def txt_tokenize_light(spark, sf):
 @query("txt_vocab_normalize")
 def txt_vocab_normalize(spark, sf):
     d = _docs(spark, sf).select("doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
-    s = stem_tokens(d, "doc_id", "tokens")
+    s = stem_tokens(d, "tokens")
     return s.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 

@@ -1,4 +1,4 @@
-"""Token columns normalised through their distinct vocabulary."""
+"""Token columns normalised by stemming."""
 
 from __future__ import annotations
 
@@ -10,35 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peerlens.functions.stem import stem
-from peerlens.operators.grouped import as_list, attach
-from peerlens.runtime import pin
-
-
-@F.pandas_udf(T.StringType())
-def stem_words(words: pd.Series) -> pd.Series:
-    return words.map(stem)
-
-
-def stem_tokens(df: DataFrame, key, columns: str | Sequence[str]) -> DataFrame:
-    """Stem array columns and drop tokens of one character: every distinct word is stemmed once, then joined back in order.
-
-    All columns share one vocabulary and one join; a frequent word is a hot join key and is split by
-    the row key. ``key`` must identify a row.
-    """
-    keys, columns = as_list(key), as_list(columns)
-    df = pin(df, "tokens")
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("w")) for c in columns])).alias("_e")
-    long = df.select(*keys, fields).select(*keys, "_e.f", F.posexplode("_e.w").alias("_pos", "word"))
-    counted = long.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocab = counted.repartition(tasks, "word").withColumn("_s", stem_words("word"))
-    joined = attach(long, vocab, "word", keys)
-
-    def column(c):
-        found = F.collect_list(F.when(F.col("f") == c, F.struct("_pos", "_s")))
-        return F.transform(F.sort_array(found), lambda x: x["_s"]).alias(f"_l_{c}")
-
-    listed = joined.groupBy(*keys).agg(*[column(c) for c in columns])
-    none = F.array().cast("array<string>")
-    kept = {c: F.filter(F.coalesce(f"_l_{c}", none), lambda w: F.length(w) > 1) for c in columns}
-    return df.join(listed, keys, "left").withColumns(kept).drop(*[f"_l_{c}" for c in columns])
+from peerlens.operators.grouped import as_list
+from peerlens.runtime import spread
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_lists(lists: pd.Series) -> pd.Series:
+    """Each token's stem; the distinct tokens of a batch are stemmed once."""
+    known: dict[str, str] = {}
+
+    def one(words) -> list[str]:
+        out = []
+        for w in () if words is None else words:
+            if w is not None and w not in known:
+                known[w] = stem(w)
+            out.append(known.get(w))
+        return [s for s in out if s is not None and len(s) > 1]
+
+    return lists.map(one)
+
+
+def stem_tokens(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """Stem array columns and drop tokens of one character, inside the row: no token is shuffled. NULL gives an empty list."""
+    return spread(df).withColumns({c: stem_lists(c) for c in as_list(columns)})
