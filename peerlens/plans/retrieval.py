@@ -71,13 +71,14 @@ def distinct_words(df: DataFrame, text: str) -> DataFrame:
 def pair_table(cands: DataFrame, qs: DataFrame, truth: DataFrame) -> DataFrame:
     """Candidates with target and table features of the (query, passage) pair."""
     asked = distinct_words(qs.select("q_id", "query"), "query")
-    asked = asked.select("q_id", F.col("words").alias("_qw"), F.col("n_words").alias("_qn"))
+    asked = asked.select("q_id", F.col("words").alias("_qw"), F.col("n_words").alias("_qn")).join(qs.select("q_id", "fold"), "q_id")
     rows = W.label_membership(cands, truth, ["q_id", "pid"]).join(asked, "q_id")
     shared = F.size(F.array_intersect("_qw", "words"))
     either = F.size("_qw") + F.size("words") - shared
     return rows.select(
         "q_id",
         "pid",
+        "fold",
         "target",
         F.col("score").cast("double").alias("score"),
         F.col("position").cast("double").alias("position"),
@@ -88,14 +89,26 @@ def pair_table(cands: DataFrame, qs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def rank(pairs: DataFrame, *, feature_sets: Sequence[Sequence[str]], keep_negatives: float = 0.05, exported: int = EXPORTED) -> DataFrame:
-    """Scorers fitted on down-sampled pairs, their mean, and the first ``exported`` papers per query."""
+    """Scorers fitted on down-sampled pairs, their mean, and the first ``exported`` papers per query.
+
+    A pair is scored by models that were fitted on the questions of other folds.
+    """
     pairs = pin(pairs, "pairs")
     train = pin(SP.negative_downsample(pairs, "q_id", "pid", "target", keep_negatives), "train")
     out = pairs.select("q_id", "pid", "target")
+    # Folds whose models would see both classes; a fold number is a parameter of the split, so there are few.
+    known = train.groupBy("fold").agg(F.max("target").alias("hit")).where("hit = 1").select("fold").collect()
+    every = [r["fold"] for r in pairs.select("fold").distinct().collect()]
+    folds = [f for f in sorted(every) if any(r["fold"] != f for r in known)]
     names = []
     for i, cols in enumerate(feature_sets):
-        model = MD.pair_scorer(list(cols)).fit(train)
         names.append(f"pred{i + 1}")
-        out = out.join(MD.predict(model, pairs, names[-1]).select("q_id", "pid", names[-1]), ["q_id", "pid"], "left")
-    mean = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0)) / len(names)
+        scored = None
+        for fold in folds:
+            model = MD.pair_scorer(list(cols)).fit(train.where(F.col("fold") != fold))
+            part = MD.predict(model, pairs.where(F.col("fold") == fold), names[-1]).select("q_id", "pid", names[-1])
+            scored = part if scored is None else scored.unionByName(part)
+        if scored is not None:
+            out = out.join(scored, ["q_id", "pid"], "left")
+    mean = sum((F.coalesce(F.col(n), F.lit(0.0)) if folds else F.lit(0.0) for n in names), F.lit(0.0)) / len(names)
     return N.top_per_key(out.withColumn("pred", F.round(mean, 9)), "q_id", [F.desc("pred"), F.col("pid")], exported)

@@ -6,7 +6,7 @@ from compare import compare, connect
 import __spark_entry__ as entry_points
 
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-HEAVY = {"gra_features", "w2v_features", "rank_papers_end_to_end", "score_members_end_to_end", "out_panel"}
+HEAVY = {"gra_features", "w2v_features", "score_members_end_to_end", "out_panel"}
 
 
 @pytest.fixture(scope="module")
