@@ -167,7 +167,13 @@ def txt_keywords_flatten(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(w).cast("long").alias("n"), F.array_join(w, "|").alias("words"))
 
 
-@query("txt_script_flag")
+_CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}⺀-⿟々-〇]+"
+
+
+@query(
+    "txt_script_flag",
+    f"SELECT doc_id, CAST(regexp_matches(text, '{_CJK}') AS INTEGER) AS cjk, array_to_string(regexp_extract_all(text, '{_CJK}'), ' ') AS runs FROM documents",
+)
 def txt_script_flag(spark, sf):
     return _docs(spark, sf).select(
         "doc_id", X.has_cjk("text").cast("int").alias("cjk"), F.array_join(X.cjk_runs("text"), " ").alias("runs")

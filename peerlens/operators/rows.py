@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from peerlens.functions import text as X
 from peerlens.operators.grouped import as_list, row_positions, with_group_stats
@@ -85,13 +86,25 @@ def explode_labels(groups: DataFrame, group: str, positives: str, negatives: str
 
 
 def wide_features(ids: DataFrame, tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Left-join feature tables on the same keys; one shuffle of ``ids`` serves all joins."""
+    """Left-join feature tables on the same keys; one shuffle of ``ids`` serves all joins.
+
+    A table with a repeated key ends the job instead of repeating rows. The check is a count inside the
+    partitions that the join needs anyway.
+    """
     out = ids.repartition(*keys)
     for t in tables:
-        out = out.join(t, list(keys), "left")
+        out = out.join(_unique(t, list(keys)), list(keys), "left")
     return out
 
 
+def _unique(table: DataFrame, keys: list[str]) -> DataFrame:
+    counted = table.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    values = [c for c in table.columns if c not in keys]
+    message = F.lit(f"repeated key ({', '.join(keys)}) in a feature table")
+    checked = {c: F.when(F.col("_n") > 1, F.raise_error(message).cast(table.schema[c].dataType)).otherwise(F.col(c)) for c in values}
+    return counted.withColumns(checked).drop("_n")
+
+
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
     """Keys that occur more than once; a feature table must have none before it is joined."""
     return df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

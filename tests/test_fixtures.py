@@ -244,3 +244,11 @@ def test_single_json_object_file(spark, tmp_path):
 def test_repeated_items_keep_the_largest_value(spark):
     df = spark.createDataFrame([("g", "a", 1.0), ("g", "a", 3.0), ("g", "b", 2.0)], "g string, i string, v double")
     assert [r["map"] for r in SI.implode_map(df, "g", "i", "v").collect()] == [{"a": 3.0, "b": 2.0}]
+
+
+def test_repeated_feature_keys_are_refused(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "k int")
+    once = spark.createDataFrame([(1, "a", 1.0)], "k int, s string, v double")
+    assert W.wide_features(ids, [once], ["k"]).count() == 2
+    with pytest.raises(Exception, match="repeated key"):
+        W.wide_features(ids, [once.unionByName(once)], ["k"]).collect()
