@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -240,46 +241,61 @@ _CHUNK_DDL = "chunk long, word binary, place int, n long, ids array<struct<doc:s
 def _chunks(docs: DataFrame, tree: Tree) -> DataFrame:
     """For each chunk one row per distinct word (word, place, training count) and one row with its documents.
 
-    ``pairs`` holds, document after document, the number of its distinct words, their places and their counts.
+    ``pairs`` holds the compressed numbers of the documents' distinct words, the steps between their places, and
+    their counts.
     """
 
-    def flush(number: int, rows: list) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
-        ids, pairs = [], []
-        train: list[int] = []
-        for doc, held_out, words, score in rows:
+    class Chunk:
+        def __init__(self) -> None:
+            self.place: dict[bytes, int] = {}
+            self.train: list[int] = []
+            self.ids: list[dict] = []
+            self.steps: list[np.ndarray] = []
+            self.counts: list[np.ndarray] = []
+            self.size = 0
+
+        def add(self, doc: str | None, held_out: bool, text: bytes, score: float) -> None:
             own: dict[int, int] = {}
-            for w in words:
-                at = place.setdefault(w, len(place))
+            n = 0
+            for w in text.split():
+                n += 1
+                at = self.place.setdefault(w, len(self.place))
                 own[at] = own.get(at, 0) + 1
-            if len(train) < len(place):
-                train.extend([0] * (len(place) - len(train)))
+            self.train.extend([0] * (len(self.place) - len(self.train)))
             if not held_out:
                 for at, k in own.items():
-                    train[at] += k
-            pairs += [np.array([len(own)], "<u4"), np.sort(np.fromiter(own, "<u4", len(own))), np.array([own[k] for k in sorted(own)], "<u4")]
-            ids.append({"doc": doc, "held_out": held_out, "tokens": len(words) + 1, "ends": 0 if held_out else 1, "score": score})
-        nulls = [None] * len(place)
-        kinds = dict(zip(("chunk", "word", "place", "n", "ids", "pairs"), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), _IDS, pa.binary()), strict=True))
-        make = lambda columns: pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
-        yield make([[number] * len(place), list(place), list(place.values()), train, nulls, nulls])
-        yield make([[number], [None], [None], [None], [ids], [np.concatenate(pairs).tobytes()]])
+                    self.train[at] += k
+            places = sorted(own)
+            self.steps.append(np.diff(np.array(places, "<u4"), prepend=np.uint32(0)).astype("<u4"))
+            self.counts.append(np.array([own[at] for at in places], "<u4"))
+            self.ids.append({"doc": doc, "held_out": held_out, "tokens": n + 1, "ends": 0 if held_out else 1, "score": score})
+            self.size += len(text) + 64
+
+        def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+            kinds = dict(zip(("chunk", "word", "place", "n", "ids", "pairs"), (pa.int64(), pa.binary(), pa.int32(), pa.int64(), _IDS, pa.binary()), strict=True))
+            make = lambda columns: pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+            words = list(self.place)
+            for at in range(0, len(words), 1 << 14):
+                part = words[at : at + (1 << 14)]
+                nulls = [None] * len(part)
+                yield make([[number] * len(part), part, range(at, at + len(part)), self.train[at : at + len(part)], nulls, nulls])
+            sizes = np.fromiter(map(len, self.steps), "<u4", len(self.steps))
+            pairs = zstandard.ZstdCompressor(level=1).compress(np.concatenate([sizes, *self.steps, *self.counts]).tobytes())
+            yield make([[number], [None], [None], [None], [self.ids], [pairs]])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        rows: list = []
-        size = 0
+        chunk = Chunk()
         for part in parts:
             texts = lowered(part.column(1))
             scores = tree.scores(texts).tolist() if texts else []
             for doc, text, held_out, score in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), scores, strict=True):
-                rows.append((doc, held_out, text.split(), score))
-                size += len(text) + 64
-                if size >= CHUNK_BYTES:
-                    yield from flush(number, rows)
-                    number, rows, size = number + 1, [], 0
-        if rows:
-            yield from flush(number, rows)
+                chunk.add(doc, held_out, text, score)
+                if chunk.size >= CHUNK_BYTES:
+                    yield from chunk.rows(number)
+                    number, chunk = number + 1, Chunk()
+        if chunk.ids:
+            yield from chunk.rows(number)
 
     return streams(docs, run, _CHUNK_DDL)
 
@@ -313,23 +329,25 @@ def score(docs: DataFrame, held_out: F.Column, depth: int = DEPTH, min_share: fl
         for part in parts:
             for i in range(part.num_rows):
                 ids = part.column(0)[i].as_py()
-                pairs = np.frombuffer(part.column(1)[i].as_py(), "<u4")
+                pairs = np.frombuffer(zstandard.ZstdDecompressor().decompress(part.column(1)[i].as_py()), "<u4").astype(np.int64)
                 counts = part.column(2)[i].values
                 c = np.zeros(0 if counts is None else len(counts), np.int64)
                 if counts is not None:
                     c[counts.field("place").to_numpy()] = counts.field("c").to_numpy()
                 logs = np.log10(c + 0.1) - below
                 end = np.log10(ends + 0.1) - below
-                at, base, found = 0, [], []
-                for _ in ids:
-                    k = int(pairs[at])
-                    place, times = pairs[at + 1 : at + 1 + k], pairs[at + 1 + k : at + 1 + 2 * k].astype(np.int64)
-                    at += 1 + 2 * k
-                    base.append(float(logs[place] @ times + end))
-                    found.append(int(times[c[place] > 0].sum()) + (1 if ends else 0))
+                sizes = pairs[: len(ids)]
+                steps, times = np.split(pairs[len(ids) :], 2)
+                owner = np.repeat(np.arange(len(ids)), sizes)
+                # Places are running sums that start anew with each document.
+                upto = np.cumsum(steps)
+                before = np.concatenate(([0], upto))[np.cumsum(sizes) - sizes]
+                place = upto - before[owner]
+                base = np.bincount(owner, weights=logs[place] * times, minlength=len(ids)) + end
+                found = np.bincount(owner, weights=np.where(c[place] > 0, times, 0), minlength=len(ids)).astype(np.int64) + (1 if ends else 0)
                 columns = [[x[f] for x in ids] for f in ("doc", "held_out", "tokens", "score")]
                 yield pa.record_batch(
-                    [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(found, pa.int64()), pa.array([total] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(columns[3], pa.float64())],
+                    [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int64()), pa.array(found), pa.array([total] * len(ids), pa.int64()), pa.array(base), pa.array(columns[3], pa.float64())],
                     ["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
