@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from peerlens.runtime import pin, ship
 
-#: Rows handed to a Python worker at once: long texts must not add up to a large batch.
-BATCH_ROWS = 256
+#: What a function sees at once, and what Spark hands to a Python worker at once: long texts must not add up.
+BATCH_ROWS, BATCH_BYTES = 256, "4m"
 
 #: The words of ASCII-spaced text; the same class in Java, Python and RE2.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,11 +27,15 @@ def batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch |
 
 
 def streams(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply a function to the stream of Arrow batches of each partition."""
+    """Apply a function to the stream of Arrow batches of each partition, cut to a few hundred rows each."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(part.slice(at, BATCH_ROWS) for part in parts for at in range(0, part.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
