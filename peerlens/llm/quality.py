@@ -7,6 +7,8 @@ are matched back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +18,15 @@ from peerlens.llm.common import SPACES, aside, table
 MIN_DOCS, MAX_SHARE = 10, 0.01
 #: A document is depleted if boilerplate lines hold more than this share of its word characters.
 MAX_LOSS = 0.5
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def _shifted(a: Column, by: int, n: Column) -> Column:
-    return F.slice(a, F.lit(1 + by), F.greatest(n, F.lit(0)))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def repeat_words(words: Column, window: int = 3) -> Column:
@@ -34,15 +36,16 @@ def repeat_words(words: Column, window: int = 3) -> Column:
     by hash with their places, equal neighbours are kept, and the covered words are counted from the sorted places.
     """
     n = F.size(words) - (window - 1)
-    windows = F.arrays_zip(*[_shifted(words, k, n).alias(str(k)) for k in range(window)])
-    hashes = F.transform(windows, lambda w: F.xxhash64(w))
-    order = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), i.alias("i"))))
+    starts = F.slice(words, F.lit(1), F.greatest(n, F.lit(0)))
+    digest = lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, window)])
+    hashes = F.transform(starts, digest)
+    order = F.sort_array(F.transform(starts, lambda x, i: F.struct(digest(x, i).alias("h"), i.alias("i"))))
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    near = F.arrays_zip(order.alias("own"), F.concat(none, order).alias("before"), F.slice(order, F.lit(2), F.greatest(n, F.lit(0))).alias("after"))
     same = lambda x: x["own"].isNotNull() & (F.coalesce(x["own"]["h"] == x["before"]["h"], F.lit(False)) | F.coalesce(x["own"]["h"] == x["after"]["h"], F.lit(False)))
-    places = F.sort_array(F.transform(F.filter(near, same), lambda x: x["own"]["i"]))
-    steps = F.arrays_zip(places.alias("at"), F.slice(places, F.lit(2), F.greatest(n, F.lit(0))).alias("next"))
-    covered = F.aggregate(steps, F.lit(0), lambda total, x: total + F.coalesce(F.least(F.lit(window), x["next"] - x["at"]), F.lit(window)))
+    near = lambda o: F.arrays_zip(o.alias("own"), F.concat(none, o).alias("before"), F.slice(o, F.lit(2), F.size(o)).alias("after"))
+    places = _once(order, lambda o: F.sort_array(F.transform(F.filter(near(o), same), lambda x: x["own"]["i"])))
+    steps = lambda p: F.arrays_zip(p.alias("at"), F.slice(p, F.lit(2), F.size(p)).alias("next"))
+    covered = _once(places, lambda p: F.aggregate(steps(p), F.lit(0), lambda total, x: total + F.coalesce(F.least(F.lit(window), x["next"] - x["at"]), F.lit(window))))
     return F.when(F.size(F.array_distinct(hashes)) >= n, F.lit(0)).otherwise(covered).cast("long")
 
 
@@ -50,7 +53,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
     split = read.select("doc_id", "host", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    plain = lambda x: F.array_join(words_of(F.translate(x, _UPPER, _LOWER)), " ")
+    plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), SPACES, " "))
     return split.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
