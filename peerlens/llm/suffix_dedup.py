@@ -8,9 +8,8 @@ and the union over all pairs is exactly what must go. So each anchor needs the l
 partners with l + r >= 200; what lies further away belongs to other anchors.
 
 1. All anchors are sorted by (key, context hash, text) in one range shuffle of small rows; anchors whose key stands
-   alone, nearly all, end there. A hot key spreads over several ranges.
-2. Anchors with equal contexts (all bytes that can matter) are repeated as a whole: counted by a map-side aggregate,
-   never compared. Of each group of equal contexts one stays as a partner for the others.
+   alone end there. A hot key spreads over several ranges; keys at the edges of ranges are counted by aggregates.
+2. Anchors with equal contexts (all bytes that can matter) are repeated as a whole: counted, never compared. Of each group of equal contexts one stays as a partner for the others.
 3. Different contexts under one key are suffix-sorted by deep-shallow sorting, the parts from the anchor on and,
    reversed, the parts before it: multikey quicksort to a shallow depth, then blind tries for groups with longer common
    prefixes. Common prefixes of neighbours give each anchor its partners from the nearest on.
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,34 +238,65 @@ def _anchor_rows(texts: DataFrame, length: int, key: int) -> DataFrame:
     return batches(texts, run, "key long, context long, text long, at int")
 
 
-def _not_alone(rows: DataFrame) -> DataFrame:
-    """Rows of a partition, sorted by key, without those whose key no other row has; the first and last key always stay, they may go on next door."""
+_MARK = "key long, context long, text long, at int, whole boolean, sent boolean, many boolean, edge boolean"
+
+
+def _marks(rows: DataFrame, group: int) -> DataFrame:
+    """Marks of the anchors whose key others share, from partitions sorted by (key, context, text, at).
+
+    ``whole``: others have the same context; ``sent``: the first of its context under a key where contexts must be compared;
+    ``many``: more than ``group`` contexts. The first and the last key of a partition may go on next door: their rows
+    leave as they are, with ``edge`` set.
+    """
+    names = [f.split()[0] for f in _MARK.split(", ")]
+
+    def judged(table: pa.Table, edge: bool) -> pa.RecordBatch:
+        key, context = (table.column(i).to_numpy() for i in (0, 1))
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
+        of, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+        n = np.bincount(of)
+        whole = n[of] > 1
+        kinds = np.bincount(of_key[new])[of_key]
+        single = np.bincount(of_key[new], weights=n == 1)[of_key] > 0
+        sent = new & (kinds > 1) & single
+        keep = np.nonzero(np.full(len(key), edge) | whole | (kinds > 1))[0]
+        flags = [pa.array(x[keep]) for x in (whole, sent, kinds > group, np.full(len(key), edge))]
+        taken = table.take(pa.array(keep)).combine_chunks()
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in taken.columns]
+        return pa.record_batch([*columns, *flags], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # rows of the last key so far
         first = True
         for part in parts:
-            if not part.num_rows:
-                continue
-            both = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0] if held is not None and held.num_rows else part
-            keys = both.column(0).to_numpy()
-            same = keys[1:] == keys[:-1]
-            keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            # The last row waits for its successor.
-            if first:
-                keep[0] = True
-                first = False
-            elif held is not None and held.num_rows:
-                keep[0] |= waits
-            waits = bool(keep[-1]) if len(keys) > 1 else bool(keep[0])
-            held = both.slice(len(keys) - 1, 1)
-            found = np.nonzero(keep[:-1])[0]
-            if len(found):
-                yield both.take(pa.array(found))
-        if held is not None:
-            yield held
-
-    return streams(rows, run, "key long, context long, text long, at int")
+            key = part.column(0).to_numpy()
+            if held and held[-1].column(0)[0].as_py() != key[0]:
+                yield judged(pa.Table.from_batches(held), first)
+                held, first = [], False
+            starts = np.nonzero(key[1:] != key[:-1])[0] + 1
+            if len(starts):
+                # The first key of the part ends here, the last one may go on, those between are complete.
+                held.append(part.slice(0, starts[0]))
+                yield judged(pa.Table.from_batches(held), first)
+                held, first = [], False
+                if starts[-1] > starts[0]:
+                    yield judged(pa.Table.from_batches([part.slice(starts[0], starts[-1] - starts[0])]), False)
+                part = part.slice(starts[-1])
+            held.append(part)
+        if held:
+            yield judged(pa.Table.from_batches(held), True)
+
+    return streams(rows, run, _MARK)
+
+
+def _edge_marks(edge: DataFrame, group: int) -> DataFrame:
+    """The same marks for keys that lie on both sides of a partition's edge, a hot key among them: by aggregates."""
+    equal = edge.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("text", "at")).alias("one"))
+    keys = equal.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
+    contexts = equal.join(keys, "key").where("n > 1 OR kinds > 1")
+    sent = F.expr("kinds > 1 AND single > 0") & (F.struct("text", "at") == F.col("one"))
+    return edge.select("key", "context", "text", "at").join(contexts, ["key", "context"]).select("key", "context", "text", "at", (F.col("n") > 1).alias("whole"), sent.alias("sent"), (F.col("kinds") > group).alias("many"))
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GROUP) -> DataFrame:
@@ -275,35 +306,57 @@ def repeats(texts: DataFrame, length: int = LENGTH, key: int = KEY, group: int =
     loses all that is ``length`` bytes or longer. Runs that touch count as one. Other columns are not read.
     """
     read = texts.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = read.select("doc_id", F.xxhash64("text").alias("number"), "text")
+    docs = read.select("doc_id", F.xxhash64("text").alias("number"), F.xxhash64("doc_id").alias("row"), "text")
     long = docs.where(F.octet_length("text") >= length)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _anchor_rows(long.select("number", "text"), length, key).repartitionByRange(n, "key", "context", "text", "at").sortWithinPartitions("key")
-    found = aside(_not_alone(rows), "repeat-anchors")
-    # Equal contexts: how many, and one that stands for them.
-    equal = found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("text", "at")).alias("one"))
-    keys = equal.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"))
-    contexts = equal.join(keys, "key").where("n > 1 OR kinds > 1").select("key", "context", "n", "one", (F.expr("kinds > 1 AND single > 0")).alias("compared"), (F.col("kinds") > group).alias("many"))
-    contexts = aside(contexts, "repeat-contexts")
-    marks = found.join(contexts, ["key", "context"]).select("text", "at", "key", "context", (F.col("n") > 1).alias("whole"), (F.col("compared") & (F.struct("text", "at") == F.col("one"))).alias("sent"), "many")
-    marks = marks.distinct().groupBy(F.col("text").alias("number")).agg(F.collect_list(F.struct("at", "key", "context", "whole", "sent", "many")).alias("marks"))
-    marked = docs.join(marks, "number", "left").select(
-        "doc_id", "number", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("marks").isNull(), F.sha2("text", 256)).alias("sha"), F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks"
+    rows = _anchor_rows(long.select("number", "text"), length, key).repartitionByRange(n, "key", "context", "text", "at").sortWithinPartitions("key", "context", "text", "at")
+    found = aside(_marks(rows, group), "repeat-anchors")
+    marks = found.where("NOT edge").drop("edge").unionByName(_edge_marks(found.where("edge"), group))
+    # Most marks are of whole contexts that nobody needs to see again: their place is enough.
+    plain = F.expr("whole AND NOT sent")
+    marks = marks.groupBy(F.col("text").alias("number")).agg(
+        F.collect_set(F.when(plain, F.col("at"))).alias("wholes"), F.collect_set(F.when(~plain, F.struct("at", "key", "context", "whole", "sent", "many"))).alias("marks")
+    )
+    # Of equal texts one speaks for all.
+    marks = marks.join(long.groupBy("number").agg(F.min("row").alias("speaker")), "number")
+    marked = _packed(docs).join(marks, "number", "left").select(
+        "doc_id", "number", "n_bytes", "sha", F.when(F.col("marks").isNotNull(), F.col("packed")).alias("packed"), "wholes", "marks", (F.col("row") == F.col("speaker")).alias("speaks")
     )
     marked = aside(marked, "repeat-texts")
     some = marked.where("marks IS NOT NULL")
-    spans = _spans(some, length, key)
-    cut = _cut(some.join(spans, "number", "left").select("doc_id", "text", "marks", "spans"), length, key)
+    lone = F.exists("marks", lambda m: ~m["whole"])
+    spans = _spans(some.where("speaks"), length, key)
+    cut = some.where(lone).join(spans, "number", "left").select("doc_id", "packed", "wholes", "marks", "spans")
+    cut = _cut(cut.unionByName(some.where(~lone).select("doc_id", "packed", "wholes", "marks"), allowMissingColumns=True), length, key)
     none = marked.where("marks IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast(_RUNS).alias("spans"))
     return cut.unionByName(none)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Texts in compressed form, for the one shuffle that they take part in, with their length and digest."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = text_bytes(batch.column(3))
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.record_batch(
+            [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([pack(t) for t in texts], pa.binary())],
+            ["doc_id", "number", "row", "n_bytes", "sha", "packed"],
+        )
+
+    return batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, number long, row long, n_bytes long, sha string, packed binary")
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]
+
+
 def _spans(some: DataFrame, length: int, key: int) -> DataFrame:
     """(number, spans): extents of the anchors whose contexts stand alone but share a key with others."""
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for text, marks in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for text, marks in zip(_unpacked(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             for m in marks:
                 if m["sent"]:
                     out.append((m["key"], m["context"], not m["whole"], m["many"], *sides(text, m["at"], length, key)))
@@ -311,11 +364,9 @@ def _spans(some: DataFrame, length: int, key: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "context", "want", "many", "before", "after"])
 
-    sent = batches(some.select("text", "marks").where(F.exists("marks", lambda m: m["sent"])), send, "key long, context long, want boolean, many boolean, before binary, after binary")
-    # Copies of a text send the same contexts.
-    sent = aside(sent.dropDuplicates(["key", "context"]), "repeat-sides")
+    sent = batches(some.select("packed", "marks").where(F.exists("marks", lambda m: m["sent"])), send, "key long, context long, want boolean, many boolean, before binary, after binary")
     n = int(some.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = sent.where("NOT many").repartition(n, "key").sortWithinPartitions("key")
+    few = sent.where("NOT many").repartition(n, "key").sortWithinPartitions("key", "context")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -330,7 +381,8 @@ def _spans(some: DataFrame, length: int, key: int) -> DataFrame:
                 if held and held[0][0] != row[0]:
                     done += solve()
                     held = []
-                held.append(row)
+                if not held or held[-1][1] != row[1]:  # rows of one id may send a context twice
+                    held.append(row)
             yield _extent_rows(done)
             done = []
         if held:
@@ -350,11 +402,10 @@ def _spans(some: DataFrame, length: int, key: int) -> DataFrame:
         return pa.record_batch([pa.array(w, pa.binary()), pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(o, pa.int32())], ["window", "key", "context", "before"])
 
     # Windows that do not hold the whole key (before < 0 never happens: they start at the anchor or earlier).
-    all_windows = batches(sent.where("many"), windows, "window binary, key long, context long, before int").where("before >= 0")
+    all_windows = batches(sent.where("many").dropDuplicates(["key", "context"]), windows, "window binary, key long, context long, before int").where("before >= 0")
     twice = all_windows.groupBy("key", "window", "before").agg(F.count("*").alias("n")).where("n > 1").select("key", "window", "before")
     large = all_windows.join(twice, ["key", "window", "before"]).groupBy("key", "context").agg(F.max("before").alias("left"), (length - F.min("before")).cast("int").alias("right"))
     extent = small.unionByName(large)
-    # One text's marks, however many copies it has.
     lone = some.select("number", F.explode(F.filter("marks", lambda m: ~m["whole"])).alias("m")).select("number", "m.at", "m.key", "m.context").distinct()
     return lone.join(extent, ["key", "context"]).groupBy("number").agg(F.collect_list(F.struct("at", "left", "right")).alias("spans"))
 
@@ -381,8 +432,9 @@ def _cut(some: DataFrame, length: int, key: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, marks, extra in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            spans = [(max(0, m["at"] - (length - key)), min(len(text), m["at"] + length)) for m in marks if m["whole"]]
+        for text, wholes, marks, extra in zip(_unpacked(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            places = [*wholes, *(m["at"] for m in marks if m["whole"])]
+            spans = [(max(0, at - (length - key)), min(len(text), at + length)) for at in places]
             spans += [(x["at"] - x["left"], x["at"] + x["right"]) for x in extra or ()]
             runs = merged(spans)
             kept, at = hashlib.sha256(), 0
