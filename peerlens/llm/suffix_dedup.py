@@ -33,7 +33,7 @@ from peerlens.llm.common import aside, batches, streams, table, text_bytes
 
 LENGTH, KEY = 200, 32
 #: More different contexts than this under one key are compared by window hashes.
-GROUP = 256
+GROUP = 4096
 #: Multikey quicksort compares this many bytes after the common start, blind tries the rest.
 SHALLOW = 16
 _PIECE = 1 << 18
@@ -189,10 +189,17 @@ def extents(group: list[tuple[bytes, bytes]], want: list[bool], length: int = LE
     numbers = [[int.from_bytes(s + bytes(n - len(s)), "big") for s in side] for side, n in ((befores, length - key), (afters, length))]
     sides_ = [befores, afters]
     best = [[0, 0] for _ in group]
-    for own, other, start in ((1, 0, key), (0, 1, 0)):
-        ranked, near = _sorted_side(sides_[own], size[own], start)
+    orders = {1: _sorted_side(sides_[1], size[1], key), 0: _sorted_side(sides_[0], size[0], 0)}
+    # The longest that anyone shares with each member on either side: what no partner can exceed.
+    most = {}
+    for side, (ranked, near) in orders.items():
+        most[side] = [0] * len(group)
         for at, i in enumerate(ranked):
-            if not want[i]:
+            most[side][i] = max(near[at] if at < len(near) else 0, near[at - 1] if at else 0)
+    for own, other in ((1, 0), (0, 1)):
+        ranked, near = orders[own]
+        for at, i in enumerate(ranked):
+            if not want[i] or most[0][i] + most[1][i] < length:
                 continue
             for step in (-1, 1):
                 reach, j = size[own], at
@@ -202,7 +209,7 @@ def extents(group: list[tuple[bytes, bytes]], want: list[bool], length: int = LE
                     if not 0 <= j < len(ranked):
                         break
                     reach = min(reach, near[edge])
-                    if reach <= best[i][own] or reach + size[other] < length:
+                    if reach <= best[i][own] or reach + most[other][i] < length:
                         break
                     p = ranked[j]
                     c = min(common(numbers[other][i], numbers[other][p], size[other]), len(sides_[other][i]), len(sides_[other][p]))
