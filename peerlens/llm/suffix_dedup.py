@@ -33,7 +33,7 @@ from peerlens.llm.common import aside, batches, streams, table, text_bytes
 
 LENGTH, KEY = 200, 32
 #: More different contexts than this under one key are compared by window hashes.
-GROUP = 4096
+GROUP = 32_768
 #: Multikey quicksort compares this many bytes after the common start, blind tries the rest.
 SHALLOW = 16
 _PIECE = 1 << 18
