@@ -1,11 +1,13 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are brought to one form: lower-cased ASCII, everything but letters and digits a space,
-spaces collapsed. Items are cut into overlapping segments. A text region within ``e`` edits of a segment of length m
-shares at least m + 1 - q (e + 1) of the segment's q-grams with it, all on diagonals (place in the text minus place
-in the segment) that differ by at most e from each other. So the segment's q-grams found in the text are counted in
-diagonal bands that overlap by half, bands that reach the bound keep their region, and a banded alignment of the
-segment inside the region decides.
+spaces collapsed. Every window of m bytes of an item is looked for, at every place; a shorter item is one window. A
+text region within ``e`` edits of a window shares at least m + 1 - q (e + 1) of the window's q-grams with it, all on
+diagonals (place in the text minus place in the item) that differ by at most e from each other. So the item's q-grams
+found in the text are counted in diagonal bands that overlap by half, windows that reach the bound inside a band are
+candidates, and a banded alignment of the window inside the band's region decides.
+
+Items are indexed in parts that overlap by a window less one byte, so that each window lies in one part.
 
 The benchmark is read in blocks of bounded size, each with its own pass over the texts; the given tables need one.
 A text is seen by one task from its words to its verdict; nothing is shuffled.
@@ -24,9 +26,9 @@ from peerlens.llm.common import streams, table, text_bytes
 
 #: q = 8 bytes fill one 64-bit number, so q-grams are compared exactly.
 Q = 8
-#: Segments have this many bytes and start this far apart; shorter items are one segment.
-SEGMENT, STRIDE = 120, 60
-#: Edits allowed per segment byte, and the shortest item that can witness a leak.
+#: Bytes of a window, and of an indexed part of an item; shorter items are one window.
+WINDOW, PART = 120, 480
+#: Edits allowed per window byte, and the shortest item that can witness a leak.
 EDIT_RATE, MIN_CHARS = 0.1, 40
 #: Benchmark bytes in one pass.
 BLOCK_BYTES = 8 << 20
@@ -51,11 +53,9 @@ def threshold(length: int, rate: float = EDIT_RATE) -> int:
     return length + 1 - Q * (edits(length, rate) + 1)
 
 
-def cut(item: bytes, segment: int = SEGMENT, stride: int = STRIDE) -> list[bytes]:
-    if len(item) <= segment:
-        return [item]
-    starts = [*range(0, len(item) - segment, stride), len(item) - segment]
-    return [item[s : s + segment] for s in starts]
+def cut(item: bytes, window: int = WINDOW, part: int = PART) -> list[bytes]:
+    """Parts of the item, such that each window of it lies whole in one of them."""
+    return [item[s : s + part] for s in range(0, max(1, len(item) - window + 1), part - window + 1)]
 
 
 def best_inside(segment: bytes, region: bytes, low: int, high: int) -> int:
@@ -78,14 +78,31 @@ def best_inside(segment: bytes, region: bytes, low: int, high: int) -> int:
     return int(row.min())
 
 
+def any_inside(part: bytes, starts: np.ndarray, length: int, region: bytes, low: int, high: int) -> np.ndarray:
+    """``best_inside`` of the windows of the part at all the starts at once, over diagonals low..high (region place minus part place)."""
+    width = high - low + 1
+    reach = int(starts[-1]) + length + width
+    text = np.full(max(reach, len(region) - low), -1, np.int16)
+    text[max(0, -low) : max(0, len(region) - low)] = np.frombuffer(region, np.uint8)[max(0, low) :]
+    rows = np.lib.stride_tricks.sliding_window_view(text, width)
+    own = np.frombuffer(part, np.uint8)
+    across = np.arange(width)
+    row = np.zeros((len(starts), width), np.int64)
+    for i in range(length):
+        step = row + (rows[starts + i] != own[starts + i, None])
+        np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])
+        row = np.minimum.accumulate(step - across, axis=1) + across
+    return row.min(axis=1)
+
+
 class Block:
     """Index of the q-grams of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float, min_chars: int):
         self.rate = rate
-        self.segments: list[tuple[int, bytes]] = [(i, s) for i, text in items if len(text) >= min_chars for s in cut(text)]
+        self.parts: list[tuple[int, bytes]] = [(i, s) for i, text in items if len(text) >= min_chars for s in cut(text)]
         grams, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, (_, s) in enumerate(self.segments):
+        for k, (_, s) in enumerate(self.parts):
             g = qgrams(s)
             grams.append(g)
             owner.append(np.full(len(g), k))
@@ -96,14 +113,15 @@ class Block:
         self.distinct, self.first, self.times = np.unique(self.grams, return_index=True, return_counts=True)
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[_slot(self.distinct)] = True
-        self.need = np.array([max(1, threshold(len(s), rate)) for _, s in self.segments], np.int64)
-        self.budget = np.array([edits(len(s), rate) for _, s in self.segments], np.int64)
+        self.window = np.array([min(len(s), WINDOW) for _, s in self.parts], np.int64)
+        self.need = np.array([max(1, threshold(m, rate)) for m in self.window.tolist()], np.int64)
+        self.budget = np.array([edits(m, rate) for m in self.window.tolist()], np.int64)
 
     def matches(self, text: bytes) -> dict[int, int]:
-        """Item -> edits, for each item of which a segment lies in the plain text; the edits are those of the first region found."""
+        """Item -> edits, for each item of which a window lies in the plain text; the edits are those of the first region found."""
         found: dict[int, int] = {}
         own = qgrams(text)
-        overlap = 2 * SEGMENT
+        overlap = 2 * WINDOW
         pieces = [(at, min(len(own), at + _PIECE + overlap)) for at in range(0, len(own), _PIECE)]
         while pieces:
             start, end = pieces.pop(0)
@@ -123,14 +141,14 @@ class Block:
         return found
 
     def _verify(self, text: bytes, at: np.ndarray, where: np.ndarray, n: np.ndarray, found: dict[int, int]) -> None:
-        # All (text place, segment, diagonal) hits; a text q-gram meets each of its places in the segments once.
+        # All (text place, part, diagonal) hits; a text q-gram meets each of its places in the parts once.
         slot = np.repeat(self.first[where] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         owner = self.owner[slot]
         diagonal = np.repeat(at, n) - self.place[slot]
         # First a rough count in wide bands, several to a counter: what is below the bound there is below it in each band.
         kept = np.zeros(len(owner), bool)
         for shift in (0, _WIDE // 2):
-            counter = (owner * 40_503 + (diagonal + SEGMENT + shift) // _WIDE) & 8191
+            counter = (owner * 40_503 + (diagonal + PART + shift) // _WIDE) & 8191
             kept |= np.bincount(counter, minlength=8192)[counter] >= self.need[owner]
         if not kept.any():
             return
@@ -139,25 +157,39 @@ class Block:
         width = 2 * self.budget[owner] + 2
         regions = []
         for layer in (0, 1):
-            band = (diagonal + SEGMENT + layer * (width // 2)) // width
-            # A q-gram of the segment counts once in a band, however often the text has it.
-            once = np.unique((owner * (1 << 36) + band) * SEGMENT + place)
-            key, count = np.unique(once // SEGMENT, return_counts=True)
-            mine = key >> 36
-            keep = count >= self.need[mine]
-            for k, o in zip(key[keep].tolist(), mine[keep].tolist(), strict=True):
+            band = (diagonal + PART + layer * (width // 2)) // width
+            # A q-gram place of the part counts once in a band, however often the text has it.
+            once = np.unique((owner * (1 << 32) + band) * PART + place)
+            key, own = once // PART, once % PART
+            mine = key >> 32
+            # A window reaches the bound if so many places of one band lie within its q-grams.
+            last = np.arange(len(once)) + self.need[mine] - 1
+            inside = np.nonzero(last < len(once))[0]
+            last = last[inside]
+            full = inside[(key[last] == key[inside]) & (own[last] - own[inside] <= self.window[mine[inside]] - Q)]
+            for k in np.unique(key[full]).tolist():
+                o = k >> 32
                 w = 2 * int(self.budget[o]) + 2
-                regions.append(((k % (1 << 36)) * w - SEGMENT - layer * (w // 2), w, o))
-        for low, w, o in sorted(regions):
-            item, segment = self.segments[o]
+                a, b = np.searchsorted(key, [k, k + 1])
+                regions.append(((k % (1 << 32)) * w - PART - layer * (w // 2), w, o, own[a:b]))
+        for low, w, o, places in sorted(regions, key=lambda x: x[:3]):
+            item, part = self.parts[o]
             if item in found:
                 continue
-            budget = int(self.budget[o])
+            m, budget = int(self.window[o]), int(self.budget[o])
+            starts = np.arange(len(part) - m + 1)
+            count = np.searchsorted(places, starts + m - Q, "right") - np.searchsorted(places, starts)
+            starts, count = starts[count >= self.need[o]], count[count >= self.need[o]]
             high = low + w - 1
             # Alignments may drift by the budget from the band in which their q-grams were counted.
-            s, e = max(0, low - budget), min(len(text), high + len(segment) + budget + 1)
+            s, e = max(0, low + int(starts[0]) - budget), min(len(text), high + int(starts[-1]) + m + budget + 1)
             region = text[s:e]
-            d = 0 if segment in region else best_inside(segment, region, low - budget - s, high + budget - s)
+            # The window that shares most first: of a copy it is nearly always within the budget.
+            best = int(starts[count.argmax()])
+            window = part[best : best + m]
+            d = 0 if window in region else best_inside(window, region, low + best - budget - s, high + best + budget - s)
+            if d > budget and len(starts) > 1:
+                d = int(any_inside(part, starts, m, region, low - budget - s, high + budget - s).min())
             if d <= budget:
                 found[item] = d
 
@@ -190,11 +222,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
 
     ``item_ids``: the matched items, ascending, comma-joined (empty if none); ``min_edits``: the fewest edits among the
     first regions found for them, null if none. Null and empty texts are clean. Benchmark rows with a null id or text, or with fewer than
-    ``min_chars`` plain characters, say too little to prove a leak and match nothing. Repeated documents are judged
+    ``min_chars`` plain characters, say too little to prove a leak and match nothing; of an item of more than 120, each
+    passage of 120 is looked for. Repeated documents are judged
     each, repeated items count once. Own columns of these names are replaced.
     """
     own = ("contaminated", "n_items", "item_ids", "min_edits")
-    if threshold(min_chars, rate) < 1 or threshold(SEGMENT, rate) < 1:
+    if threshold(min_chars, rate) < 1 or threshold(WINDOW, rate) < 1:
         raise ValueError("the edit rate leaves no shared q-gram to find a region by")
     out = docs.drop(*own).withColumn("_found", F.lit(None).cast("array<struct<item:bigint,edits:int>>"))
     for items in _blocks(benchmark, "item_id", "text", block_bytes):

@@ -296,6 +296,34 @@ def test_decontamination_finds_edited_passages(spark):
     assert not any(r["contaminated"] for r in decontam.contamination(frame(spark, texts[:5]), benchmark.where("false")).collect())
 
 
+def test_decontamination_finds_passages_at_every_offset():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    item = " ".join(word() for _ in range(230))[:1100].encode().strip()
+    other = [" ".join(word() for _ in range(80)).encode() for _ in range(2)]
+    block = decontam.Block([(7, item), (8, item[:300])], decontam.EDIT_RATE, decontam.MIN_CHARS)
+    for at in range(len(item) - 119):
+        passage = bytearray(item[at : at + 120])
+        found = block.matches(b" ".join([other[0], bytes(passage), other[1]]))
+        assert 7 in found and (at > 180 or 8 in found), at
+        for place in rng.sample(range(120), 12):  # as many replaced bytes as the edit budget
+            passage[place] = ord("0")
+        assert 7 in block.matches(b" ".join([other[0], bytes(passage), other[1]])), at
+    assert not block.matches(b" ".join(other))
+    assert not block.matches(b" ".join([other[0], item[200:280], other[1], item[600:680]]))
+
+
+def test_windows_aligned_at_once_match_single_ones():
+    rng = random.Random(12)
+    for _ in range(100):
+        part, region = bytes(rng.choices(b"abc", k=rng.randint(8, 30))), bytes(rng.choices(b"abc", k=rng.randint(1, 40)))
+        m, low = rng.randint(3, 8), rng.randint(-12, 12)
+        high = low + rng.randint(1, 12)
+        starts = np.array(sorted(rng.sample(range(len(part) - m + 1), min(3, len(part) - m + 1))))
+        want = [decontam.best_inside(part[s : s + m], region, low + s, high + s) for s in starts.tolist()]
+        assert decontam.any_inside(part, starts, m, region, low, high).tolist() == want
+
+
 # Personal data
 
 
