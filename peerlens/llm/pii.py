@@ -39,8 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGNED = re.compile(r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([^\s\"'<>]{6,200})")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,200}(?![A-Za-z0-9_-])")
+_ASSIGNED = re.compile(r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([^\s\"'<>]{6,})")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])")
 _NAME = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(TITLES) + r")\.?|(?i:my name is|i am called))\x20([A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?)")
 _LOCALPHONE = re.compile(r"(?<![0-9+(])\([0-9]{2,4}\)\x20?[0-9]{3}[\x20-][0-9]{4}(?![0-9])")

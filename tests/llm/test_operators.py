@@ -359,6 +359,15 @@ def test_pii_model_and_redaction(spark):
     assert 0 <= pii.fit({}).probability("4|0,0,0,0,0|0") <= 1
 
 
+@pytest.mark.parametrize("length", [200, 201, 5_000])
+def test_pii_long_secrets_are_hidden_whole(spark, length):
+    rng = random.Random(length)
+    key = "eyJ" + "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-", k=length - 4)) + "x"
+    docs = frame(spark, [f"password = {key}/end. and more", f"auth header {key} follows", f"{key}.{key}.{key}"])
+    texts = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert texts == ["password = <SECRET> and more", "auth header <SECRET> follows", "<SECRET>.<SECRET>.<SECRET>"]
+
+
 # Mixing
 
 
