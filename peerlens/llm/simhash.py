@@ -155,15 +155,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHIN
 
 
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHINGLE) -> DataFrame:
-    """Documents without their near-duplicates: the row with the smallest doc_id of each group stays, whole.
+    """Documents without their near-duplicates: one row of each group stays, whole.
 
-    Repeated rows of one doc_id are copies of each other: one of them stays. A null doc_id stays only in a group
-    that has no other.
+    It is the row with the smallest doc_id, a null one last; of rows that share it the one with the smallest text hash.
+    Rows are told apart by numbers of their own, so null and repeated ids say nothing about the texts.
     """
-    found = near_duplicates(docs, max_bits, words)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # Row numbers are fixed by writing them.
+    rows = aside(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(rows, max_bits, words, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("_row").alias("row"))
+    first = found.join(rows.select("_row", order.alias("order")), "_row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,14 @@ def test_keep_first_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
 
 
+def test_keep_first_keeps_different_texts_of_null_and_repeated_ids(spark):
+    a, b, c, d = "a b c d", "other words entirely here", "third text of this table", "and a fourth one too"
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (5, d), (5, d), (4, d), (7, a), (7, "seven has a second text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(7, a), (None, b), (5, c), (4, d), (7, "seven has a second text")], key=str)
+
+
 # Repeated substrings
 
 
