@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from peerlens.llm.common import SPACES, aside, table
 
+_SIGN = r"[^\x20\x09-\x0D]"
+
 #: A line is boilerplate if more documents of its host have it than this many and than this share of them.
 MIN_DOCS, MAX_SHARE = 10, 0.01
 #: A document is depleted if boilerplate lines hold more than this share of its word characters.
@@ -49,11 +51,14 @@ def repeat_words(words: Column, window: int = 3) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) >= n, F.lit(0)).otherwise(covered).cast("long")
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.btrim(F.regexp_replace(F.lower(line), SPACES, " ")))
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str, clean: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
-    split = read.select("doc_id", "host", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), SPACES, " "))
+    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"), F.col(text_col).cast("string").alias("whole"))
+    split = read.select("doc_id", "host", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(_SIGN)).alias("lines"), "whole")
     return split.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
@@ -63,27 +68,34 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(F.xxhash64(plain(x)).alias("h"), F.length(F.regexp_replace(x, SPACES, "")).alias("c"))).alias("lines"),
+        F.transform("lines", lambda x: F.struct(_line_hash(x).alias("h"), F.length(F.regexp_replace(x, SPACES, "")).alias("c"))).alias("lines"),
+        *["whole"] * clean,
     )
 
 
-def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", clean: bool = False) -> DataFrame:
     """One row per input row: the counts, ``base_failed``, ``n_line_chars`` (word characters in boilerplate lines), ``kept``.
 
+    With ``clean`` also ``clean_text``: the text without its boilerplate lines, all other lines as they are, null for a
+    null text. The texts are then written once and shuffled by row.
+
     A null text counts as empty: it fails for having no words. A null host is the host ''. Each row counts as one
     document, so repeated rows count once each and all get the same result. Ties at a limit stay: a line must be in
     more documents than the limit, and more than the share of characters must be lost. Other columns are not read.
     """
     # Row numbers are fixed by writing them.
-    rows = aside(_counted(docs, id_col, text_col, host_col), "quality-rows")
+    rows = aside(_counted(docs, id_col, text_col, host_col, clean), "quality-rows")
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     common = aside(lines.join(hosts, "host").where(F.col("n") > F.col("docs") * max_share).select("host", "h"), "quality-lines")
     hits = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.c").join(common, ["host", "h"])
-    lost = hits.groupBy("row").agg(F.sum("c").alias("lost"))
+    lost = hits.groupBy("row").agg(F.sum("c").alias("lost"), *[F.collect_set("h").alias("gone")] * clean)
     out = rows.drop("lines").join(lost, "row", "left").withColumn("n_line_chars", F.coalesce(F.col("lost"), F.lit(0)).cast("long"))
+    # A line without a sign is none of the counted ones and stays.
+    left = F.filter(F.split(F.col("whole"), "\n"), lambda x: ~(x.rlike(_SIGN) & F.array_contains(F.col("gone"), _line_hash(x))))
+    text = F.when(F.col("lost").isNull(), F.col("whole")).otherwise(F.array_join(left, "\n")).alias("clean_text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("n_line_chars") <= F.col("word_chars") * max_loss)).alias("kept"), "n_line_chars")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("n_line_chars") <= F.col("word_chars") * max_loss)).alias("kept"), "n_line_chars", *[text] * clean)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

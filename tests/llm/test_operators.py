@@ -436,6 +436,16 @@ def test_quality_counts_and_lines(spark):
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_chars", "kept")) == want, i
 
 
+def test_quality_removes_boilerplate_lines(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    texts = [f"{o}\n\nSubscribe  NOW to our letter\n tail {i}" for i, o in enumerate(own)] + [None, "", "subscribe now to our letter", "kept \n"]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in quality.quality(docs, clean=True).collect()}
+    assert [got[i]["clean_text"] for i in range(len(texts))] == [f"{o}\n\n tail {i}" for i, o in enumerate(own)] + [None, "", "", "kept \n"]
+    assert all(got[i]["kept"] and got[i]["n_line_chars"] > 0 for i in range(30))
+    assert quality.quality(docs).columns == [c for c in got[0].asDict() if c != "clean_text"]
+
+
 # URLs
 
 
