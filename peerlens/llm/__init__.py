@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "license_scan", "mixing", "suffix_tree", "suffix_dedup", "quality", "pii", "decontam", "urlfilter", "simhash", "byte_bpe", "maxscore")
+MODULES = ("langid", "license_scan", "mixing", "suffix_tree", "suffix_dedup", "quality", "pii", "decontam", "urlfilter", "simhash", "byte_bpe", "maxscore", "conversation")
 
 
 def load() -> tuple[dict, dict]:
