@@ -9,6 +9,7 @@ from peerlens.catalog.io import TITLE_ABSTRACT_SQL, title_abstract
 from peerlens.functions import arrays as A
 from peerlens.functions import text as X
 from peerlens.operators import grouped as G
+from peerlens.operators import knn_index as KI
 from peerlens.operators import neighbours as N
 from peerlens.operators import rows as W
 from peerlens.operators import vectors as V
@@ -167,6 +168,25 @@ def join_knn_cosine(spark, sf):
     return N.knn_cosine(e, e, "vec_id", "vec_id", "embedding", "embedding", 5, skip_same=True, min_score=0.3)
 
 
+@query("topk_knn_index")
+def topk_knn_index(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return KI.knn_index(e, e, "vec_id", "vec_id", "embedding", "embedding", 10, skip_same=True)
+
+
+@query("knn_index_recall", "SELECT count(*) AS queries, true AS found_nine_tenths, true AS scores_equal FROM embeddings")
+def knn_index_recall(spark, sf):
+    """Neighbours of the index against the exact ones: the share found, and whether the scores of those are the same."""
+    exact = topk_knn(spark, sf).select("vec_id", "item", F.col("score").alias("exact"))
+    both = exact.join(topk_knn_index(spark, sf), ["vec_id", "item"], "left")
+    hit = F.col("score").isNotNull()
+    return both.agg(
+        F.countDistinct("vec_id").alias("queries"),
+        (F.sum(hit.cast("int")) >= 0.9 * F.count(F.lit(1))).alias("found_nine_tenths"),
+        F.min(~hit | (F.col("score") == F.col("exact"))).alias("scores_equal"),
+    )
+
+
 @query("topk_knn", KNN + " WHERE rank <= 10")
 def topk_knn(spark, sf):
     e = t(spark, sf, "embeddings")

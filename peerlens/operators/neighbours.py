@@ -25,6 +25,19 @@ def top_per_key(df: DataFrame, key, order: list, k: int, rank: str = "rank") ->
     return first.withColumn(rank, F.col(rank).cast("long"))
 
 
+def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k largest finite scores of each row, largest first, equal ones in column order."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+        row, col = np.nonzero((scores >= least) & (scores > -np.inf))
+    else:
+        row, col = np.nonzero(scores > -np.inf)
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def knn_cosine(
     queries: DataFrame,
     items: DataFrame,
@@ -59,8 +72,8 @@ def knn_cosine(
         block = F.col(not_within[0 if is_query else 1]).cast("long") if not_within else F.lit(None).cast("long")
         t = df.select(F.col(key).alias("_k"), A.doubles(vec).alias("_v"), block.alias("_b"), own.alias("_own"), each.alias("_each"))
         qt, seg = ("_own", "_each") if is_query else ("_each", "_own")
-        q_id = F.col("_k") if is_query else _blank(q_type)
-        i_id = _blank(i_type) if is_query else F.col("_k")
+        q_id = F.col("_k") if is_query else blank(q_type)
+        i_id = blank(i_type) if is_query else F.col("_k")
         return t.select(
             F.col(qt).alias("_qt"), F.col(seg).alias("_seg"), F.lit(0 if is_query else 1).alias("_side"),
             q_id.alias("_qk"), i_id.alias("_ik"), F.coalesce("_b", F.lit(-1 if is_query else -2)).alias("_b"), "_v",
@@ -93,7 +106,7 @@ def knn_cosine(
     return out.withColumnRenamed("_q", q_key)
 
 
-def _blank(kind: T.DataType):
+def blank(kind: T.DataType):
     """A value for the key column of the other side; never NULL, which would turn integers into floats in pandas."""
     return F.lit(0 if isinstance(kind, T.NumericType) else "").cast(kind)
 
@@ -133,8 +146,11 @@ class _Running:
             c[c < self.min_score] = -np.inf
         score = np.concatenate([self.score, c], axis=1)
         item = np.concatenate([self.item, np.broadcast_to(ids, c.shape)], axis=1)
-        at = np.argsort(-score, axis=1, kind="stable")[:, : self.k]  # equal scores stay in key order
-        self.score, self.item = np.take_along_axis(score, at, 1), np.take_along_axis(item, at, 1)
+        row, col = best_columns(score, self.k)  # equal scores stay in key order
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.score = np.full((len(score), min(self.k, score.shape[1])), -np.inf)
+        self.item = np.zeros(self.score.shape, dtype=item.dtype)
+        self.score[row, place], self.item[row, place] = score[row, col], item[row, col]
 
     def result(self, names: list[str]) -> pd.DataFrame:
         row, col = np.nonzero(self.score > -np.inf)

@@ -47,12 +47,15 @@ def passages(qs: DataFrame, truth: DataFrame, papers: DataFrame, *, max_words: i
 
 
 def candidates(
-    qs: DataFrame, pas: DataFrame, encoder: Callable, *, retrieved: int = RETRIEVED, kept: int = KEPT
+    qs: DataFrame, pas: DataFrame, encoder: Callable, *, retrieved: int = RETRIEVED, kept: int = KEPT, search: Callable = N.knn_cosine
 ) -> DataFrame:
-    """(q_id, pid, text, score, position): nearest passages of other folds, best passage per paper, first ``kept``."""
+    """(q_id, pid, text, score, position): nearest passages of other folds, best passage per paper, first ``kept``.
+
+    ``search`` is exact by default; ``knn_index.knn_index`` takes the same arguments.
+    """
     q = pin(MD.batch_infer(qs, "q_id", "query", encoder, keep=["fold"]), "queries")
     p = pin(MD.batch_infer(pas, "passage", "text", encoder, keep=["pid", "fold"]), "passages")
-    near = N.knn_cosine(q, p, "q_id", "passage", "vector", "vector", retrieved, not_within=("fold", "fold"))
+    near = search(q, p, "q_id", "passage", "vector", "vector", retrieved, not_within=("fold", "fold"))
     owned = near.join(p.select(F.col("passage").alias("item"), "pid"), "item")
     best = W.keep_first(owned.select("q_id", "pid", "item", "score", "rank"), ["q_id", "pid"], [F.col("rank")])
     top = N.top_per_key(best.drop("score"), "q_id", [F.col("rank")], kept, rank="position")
