@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peerlens.operators.grouped import as_list, grouped_map, with_group_stats
+from peerlens.runtime import pin
 
 TILE_ROWS = 2048
 DIGITS = 12
@@ -194,23 +195,26 @@ def order_values(
     """Exact order statistics of each row's measures to its group, for groups of many tiles.
 
     ``state`` has one row per (group, key) with ``_cnt``, ``_min``, ``_max``; ``targets`` maps a name
-    to a 0-based rank expression over it. A task unit holds one tile and sees all rows of the group
-    three times, block by block: it counts in equal bins of the row's range, then in finer bins of
-    the one bin that holds the rank, and then keeps the few values left there. Only one value per row and target
-    leaves a unit, and its memory follows the tile and the bins, not the group.
+    to a 0-based rank expression over it. In a round a task unit holds one tile and sees all rows of the group
+    once, block by block. A row's rank is known to lie in an interval; the unit counts the values in
+    equal parts of the interval (equal in the order of the doubles' bits), and the part that holds the rank, cut to the values found in it, is the
+    next round's interval. An interval with no more than ``_Selection.HELD`` values is read out. Parts divide
+    the 64 bits, so however concentrated the values are, eight rounds narrow any interval to one value;
+    evenly spread values take two. What a unit holds follows from the tile, the parts and ``HELD`` alone.
     """
     names = list(targets)
-    ranks = [f"_r_{t}" for t in names]
-    asked = state.select(group, key, *[targets[t].cast("long").alias(r) for t, r in zip(names, ranks)], "_min", "_max")
-    base = tiles.select(group, key, "_nt", "_tile", vec)
-    head = base.join(asked, [group, key]).withColumn("_u", F.col("_tile")).withColumn("_pass", F.lit(0))
-    blank = {"_min": F.lit(None).cast("double"), "_max": F.lit(None).cast("double")} | {r: F.lit(None).cast("long") for r in ranks}
-    body = (
-        base.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1)))
-        .withColumn("_pass", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-        .withColumns(blank)
+    base = pin(tiles.select(group, key, "_nt", "_tile", vec), "order-tiles")
+    rank = F.array(*[targets[t].cast("long") for t in names])
+    # The bounds come from other products than the rounds' own, so they get some air.
+    ends = {"_lo": F.col("_min") - F.lit(1e-8), "_hi": F.col("_max") + F.lit(1e-8)}
+    waiting = state.select(
+        group, key, rank.alias("_rank"), *[F.array_repeat(e, len(names)).alias(n) for n, e in ends.items()],
+        F.transform(rank, lambda r: F.when(r.isNotNull(), F.col("_cnt")).otherwise(0)).alias("_left"),
+        F.array_repeat(F.lit(None).cast("double"), len(names)).alias("_found"),
     )
-    out = T.StructType([tiles.schema[group], tiles.schema[key]] + [T.StructField(t, _D) for t in names])
+    longs, doubles = T.ArrayType(_L), T.ArrayType(_D)
+    kept = {"_rank": longs, "_lo": doubles, "_hi": doubles, "_left": longs, "_found": doubles}
+    out = T.StructType([tiles.schema[group], tiles.schema[key], *[T.StructField(n, k) for n, k in kept.items()], T.StructField("_more", T.BooleanType())])
 
     def run(batches):
         unit = None
@@ -223,46 +227,64 @@ def order_values(
                 name = (g[part[0]], u[part[0]])
                 if unit is None or unit.name != name:
                     if unit is not None:
-                        yield unit.result(group, key, names)
-                    unit = _Selection(name, key, vec, ranks, measure, diagonal, block_rows)
+                        yield unit.result(group, key)
+                    unit = _Selection(name, key, vec, list(kept), measure, diagonal, block_rows)
                 unit.add(pdf.iloc[part])
         if unit is not None:
-            yield unit.result(group, key, names)
+            yield unit.result(group, key)
 
     tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = head.unionByName(body).repartition(tasks, group, "_u").sortWithinPartitions(group, "_u", "_pass", key)
-    return ready.mapInPandas(run, out)
+    done = None
+    while True:
+        head = base.join(waiting, [group, key]).withColumn("_u", F.col("_tile")).withColumn("_side", F.lit(0))
+        units = head.select(group, "_u").distinct()
+        body = base.withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))).join(units, [group, "_u"], "left_semi")
+        body = body.withColumn("_side", F.lit(1)).withColumns({n: F.lit(None).cast(k) for n, k in kept.items()})
+        ready = head.unionByName(body).repartition(tasks, group, "_u").sortWithinPartitions(group, "_u", "_side", key)
+        seen = pin(ready.mapInPandas(run, out), "order-round")
+        ended = seen.where(~F.col("_more")).select(group, key, *[F.col("_found")[i].alias(t) for i, t in enumerate(names)])
+        done = ended if done is None else done.unionByName(ended)
+        # The rows of a unit go on together, so that every round forms the same products.
+        waiting = seen.where("_more").drop("_more")
+        if waiting.isEmpty():
+            return done
+
+
+def _order_key(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles."""
+    bits = (np.asarray(x, np.float64) + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits)
 
 
 class _Selection:
-    """Values at given ranks of the measures between one tile and a group that streams past it three times."""
+    """One round of narrowing between one tile and a group that streams past it."""
 
-    COARSE, FINE = 1024, 256
+    #: Parts of an interval, and values that are read out instead of narrowed.
+    PARTS, HELD = 256, 256
 
-    def __init__(self, name, key: str, vec: str, ranks: list[str], measure: str, diagonal, block_rows: int):
-        self.name, self.key, self.vec, self.columns = name, key, vec, ranks
+    def __init__(self, name, key: str, vec: str, columns: list[str], measure: str, diagonal, block_rows: int):
+        self.name, self.key, self.vec, self.columns = name, key, vec, columns
         self.measure, self.diagonal, self.block_rows = measure, diagonal, block_rows
         self.head: list[pd.DataFrame] = []
         self.held: list[pd.DataFrame] = []
-        self.waiting, self.stage = 0, 0
+        self.waiting, self.a = 0, None
 
     def add(self, pdf: pd.DataFrame) -> None:
-        stage = pdf["_pass"].to_numpy()
-        for s in np.unique(stage):
-            part = pdf[stage == s]
-            if s == 0:
-                self.head.append(part)
-                continue
-            if s != self.stage:
-                self._flush()
-                self._enter(int(s))
-            self.held.append(part)
-            self.waiting += len(part)
-            if self.waiting >= self.block_rows:
-                self._flush(whole=True)
+        side = pdf["_side"].to_numpy()
+        if (side == 0).any():
+            self.head.append(pdf[side == 0])
+        part = pdf[side == 1]
+        if not len(part):
+            return
+        if self.a is None:
+            self._enter()
+        self.held.append(part)
+        self.waiting += len(part)
+        if self.waiting >= self.block_rows:
+            self._flush(whole=True)
 
     def _flush(self, whole: bool = False) -> None:
-        """Work on the rows that wait, in blocks of a fixed size, so that each pass forms the same products."""
+        """Work on the rows that wait, in blocks of a fixed size, so that each round forms the same products."""
         if not self.waiting:
             return
         rows = pd.concat(self.held)
@@ -271,33 +293,25 @@ class _Selection:
             self._block(rows.iloc[lo : min(end, lo + self.block_rows)])
         self.held, self.waiting = [rows.iloc[end:]], len(rows) - end
 
-    def _enter(self, stage: int) -> None:
-        if stage == 1:
-            own = pd.concat(self.head)
-            self.keys, self.a = own[self.key].to_numpy(), matrix(own[self.vec])
-            self.rank = own[self.columns].to_numpy(float)
-            self.low = own["_min"].to_numpy(float)[:, None]
-            span = own["_max"].to_numpy(float)[:, None] - self.low
-            self.span = np.where(span > 0, span, 1.0)
-            self.coarse = np.zeros((len(own), self.COARSE), np.int64)
-        elif stage == 2:
-            self.bin1, self.rest = self._find(self.coarse, self.rank)
-            self.fine = np.zeros((len(self.columns), len(self.a), self.FINE), np.int64)
-        else:
-            self.bin2 = np.zeros_like(self.bin1)
-            for t in range(len(self.columns)):
-                self.bin2[:, t : t + 1], self.rest[:, t : t + 1] = self._find(self.fine[t], self.rest[:, t : t + 1])
-            self.left: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.columns]
-        self.stage = stage
-
-    @staticmethod
-    def _find(counts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bin of each rank, and the rank inside it."""
-        upto = counts.cumsum(axis=1)
-        at = np.stack([(upto <= r[:, None]).sum(axis=1) for r in np.nan_to_num(rank, nan=0).T], axis=1)
-        at = np.minimum(at, counts.shape[1] - 1)
-        before = np.take_along_axis(np.concatenate((np.zeros((len(upto), 1), np.int64), upto), axis=1), at, axis=1)
-        return at, rank - before
+    def _enter(self) -> None:
+        own = pd.concat(self.head)
+        self.keys, self.a = own[self.key].to_numpy(), matrix(own[self.vec])
+        stacked = {c: np.stack([np.array([np.nan if x is None else x for x in v], float) for v in own[c]]) for c in self.columns}
+        self.rank, self.left = (np.nan_to_num(stacked[c], nan=0).astype(np.int64) for c in ("_rank", "_left"))
+        self.asked, self.found = ~np.isnan(stacked["_rank"]), stacked["_found"]
+        self.low, self.high = (_order_key(np.nan_to_num(stacked[c], nan=0)) for c in ("_lo", "_hi"))
+        n, targets = self.left.shape
+        # Targets that ask all rows about the same intervals are counted once.
+        self.same = [next(u for u in range(t + 1) if (self.low[:, u] == self.low[:, t]).all() and (self.high[:, u] == self.high[:, t]).all() and (self.left[:, u] == self.left[:, t]).all()) for t in range(targets)]
+        narrow = self.left > self.HELD
+        self.reads = (self.left > 0) & ~narrow
+        self.narrows = narrow
+        width = (self.high - self.low).view(np.uint64)  # right modulo 2**64 whatever the signs
+        self.step = width // np.uint64(self.PARTS) + np.uint64(1)
+        self.count = {t: np.zeros((n, self.PARTS), np.int64) for t in set(self.same) if narrow[:, t].any()}
+        self.least = {t: np.full((n, self.PARTS), np.inf) for t in self.count}
+        self.most = {t: np.full((n, self.PARTS), -np.inf) for t in self.count}
+        self.values: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {t: [] for t in set(self.same)}
 
     def _block(self, rows: pd.DataFrame) -> None:
         c = MEASURES[self.measure](self.a, matrix(rows[self.vec]))
@@ -308,54 +322,48 @@ class _Selection:
             i, j = np.nonzero(same)
             c[i, mine[j]] = np.nan if self.diagonal is None else self.diagonal
         ok = ~np.isnan(c)
-        place = np.where(ok, (c - self.low) / self.span, 0.0) * self.COARSE
-        bins = np.clip(place, 0, self.COARSE - 1).astype(np.int64)
-        bins[~ok] = -1
-        if self.stage == 1:
-            i, j = np.nonzero(ok)
-            self.coarse += np.bincount(i * self.COARSE + bins[i, j], minlength=self.coarse.size).reshape(self.coarse.shape)
-            return
-        for t in range(len(self.columns)):
-            i, j = np.nonzero(bins == self.bin1[:, t : t + 1])
-            inner = np.clip((place[i, j] - bins[i, j]) * self.FINE, 0, self.FINE - 1).astype(np.int64)
-            if self.stage == 2:
-                self.fine[t] += np.bincount(i * self.FINE + inner, minlength=self.fine[t].size).reshape(self.fine[t].shape)
-            else:
-                hit = inner == self.bin2[i, t]
-                self._keep(t, i[hit], c[i[hit], j[hit]], np.ones(int(hit.sum()), np.int64))
-
-    def _keep(self, t: int, row: np.ndarray, value: np.ndarray, times: np.ndarray) -> None:
-        """Equal values of a row are kept once with their number."""
-        parts = self.left[t]
-        parts.append((row, value, times))
-        if sum(len(p[0]) for p in parts[1:]) > max(1 << 18, len(parts[0][0])):
-            parts[:] = [self._runs(parts)]
-
-    @staticmethod
-    def _runs(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, value, times = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((value, row))
-        row, value, times = row[order], value[order], times[order]
-        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))) if len(row) else np.zeros(0, int)
-        return row[first], value[first], np.add.reduceat(times, first) if len(first) else times
-
-    def result(self, group: str, key: str, names: list[str]) -> pd.DataFrame:
+        k = _order_key(c)
+        for t in self.values:
+            inside = ok & (k >= self.low[:, t : t + 1]) & (k <= self.high[:, t : t + 1]) & (self.left[:, t] > 0)[:, None]
+            i, j = np.nonzero(inside & self.reads[:, t : t + 1])
+            if len(i):
+                self.values[t].append((i, c[i, j]))
+            if t in self.count:
+                i, j = np.nonzero(inside & self.narrows[:, t : t + 1])
+                part = ((k[i, j] - self.low[i, t]).view(np.uint64) // self.step[i, t]).astype(np.int64)
+                at, value = i * self.PARTS + part, c[i, j]
+                self.count[t] += np.bincount(at, minlength=self.count[t].size).reshape(self.count[t].shape)
+                np.minimum.at(self.least[t].reshape(-1), at, value)
+                np.maximum.at(self.most[t].reshape(-1), at, value)
+
+    def result(self, group: str, key: str) -> pd.DataFrame:
+        if self.a is None:
+            self._enter()
         self._flush()
-        found = {}
-        for t, name in enumerate(names):
-            values = np.full(len(self.a), np.nan)
-            if self.left[t]:
-                row, value, times = self._runs(self.left[t])
-                if len(row):
-                    upto = np.cumsum(times)
-                    start = np.searchsorted(row, np.arange(len(self.a)))
-                    stop = np.searchsorted(row, np.arange(len(self.a)), "right")
-                    before = np.concatenate(([0], upto))[start]
-                    at = np.searchsorted(upto, before + np.nan_to_num(self.rest[:, t], nan=0), "right")
-                    some = (stop > start) & ~np.isnan(self.rank[:, t])
-                    values[some] = value[np.minimum(at, stop - 1)[some]]
-            found[name] = _clean(values)
-        return pd.DataFrame({group: [self.name[0]] * len(self.a), key: self.keys, **found})
+        rank, left = self.rank.copy(), np.zeros_like(self.left)
+        low, high = np.zeros(left.shape), np.zeros(left.shape)
+        for t, u in enumerate(self.same):
+            if self.values[u]:
+                row, value = (np.concatenate(x) for x in zip(*self.values[u]))
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                start, stop = np.searchsorted(row, np.arange(len(self.a))), np.searchsorted(row, np.arange(len(self.a)), "right")
+                some = self.reads[:, t] & self.asked[:, t] & (stop > start)
+                self.found[some, t] = value[np.minimum(start + rank[:, t], stop - 1)[some]]
+            if u in self.count:
+                some = np.flatnonzero(self.narrows[:, t])
+                upto = self.count[u][some].cumsum(axis=1)
+                at = np.minimum((upto <= rank[some, t][:, None]).sum(axis=1), self.PARTS - 1)
+                inside = self.count[u][some, at]
+                rank[some, t] -= upto[np.arange(len(some)), at] - inside
+                low[some, t], high[some, t], left[some, t] = self.least[u][some, at], self.most[u][some, at], inside
+                equal = some[(low[some, t] == high[some, t])]
+                self.found[equal, t], left[equal, t] = low[equal, t], 0
+        lists = {"_rank": rank, "_lo": low, "_hi": high, "_left": left}
+        more = bool((left > 0).any())
+        found = [[None if x != x else float(x) for x in r] for r in self.found]
+        ranks = [[int(x) if a else None for x, a in zip(r, asked)] for r, asked in zip(rank, self.asked)]
+        return pd.DataFrame({group: [self.name[0]] * len(self.a), key: self.keys, **{n: v.tolist() for n, v in lists.items()}, "_rank": ranks, "_found": found, "_more": [more] * len(self.a)})
 
 
 def pair_quantiles(

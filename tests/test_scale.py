@@ -1,6 +1,7 @@
 """The split plans for large groups must give what the plain plans give; plans must keep their shape."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,6 +76,52 @@ def test_order_values_of_many_tiles(hot):
         assert r["third"] == pytest.approx(d[2], abs=1e-8) and r["last"] == pytest.approx(d[-1], abs=1e-8)
 
 
+@pytest.mark.parametrize("values", ["close", "equal", "spread", "two"])
+def test_order_values_however_concentrated(spark, values):
+    rng = np.random.default_rng(1)
+    v = np.ones((700, 6))
+    if values != "equal":
+        v = np.ones((700, 6)) + {"close": 1e-7, "spread": 1.0, "two": 0.0}[values] * rng.normal(size=(700, 6))
+    v[0] = -v[0]  # one opposite vector spans the whole range
+    if values == "two":
+        v[350:, 0] = 2.0
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "grp long, vec_id long, embedding array<double>").repartition(4)
+    same(V.pair_stats(df, "grp", "vec_id", "embedding", "c"), V.pair_stats(df, "grp", "vec_id", "embedding", "c", tile_rows=300))
+
+
+def test_selection_holds_a_fixed_number_of_values():
+    rng = np.random.default_rng(2)
+    x = 1 + 1e-9 * rng.random((4000, 1))
+    x[0] = -1.0
+
+    def rounds(rank, measured):
+        pdf = {"g": 0, "k": [7], "_tile": [0], "_u": [0], "_side": [0], "v": [[0.0]], "_rank": [[rank]], "_lo": [[0.0]], "_hi": [[2.1]], "_left": [[4000]], "_found": [[None]]}
+        for n in range(1, 12):
+            unit = TL._Selection((0, 0), "k", "v", ["_rank", "_lo", "_hi", "_left", "_found"], "plain", "keep", 512)
+            unit.add(pd.DataFrame(pdf))
+            body = pd.DataFrame({"g": 0, "k": range(4000), "_tile": 1, "_u": 0, "_side": 1, "v": measured})
+            unit.add(body)
+            out = unit.result("g", "k")
+            assert sum(len(i) for i, _ in unit.values[0]) <= TL._Selection.HELD
+            if not out["_more"][0]:
+                return n, out["_found"][0][0]
+            pdf |= {c: out[c].tolist() for c in ("_rank", "_lo", "_hi", "_left", "_found")}
+        raise AssertionError("no end")
+
+    TL.MEASURES["plain"] = lambda a, b: np.abs(a - b.T)
+    try:
+        want = np.sort(np.abs(x[:, 0]))
+        for rank in (0, 5, 1999, 3998, 3999):
+            n, value = rounds(rank, [[float(r)] for r in x[:, 0]])
+            assert value == want[rank] and n <= 4
+        # Values whose gaps shrink like a power: the worst for equal parts of a range.
+        y = 2.0 ** -np.arange(4000.0).clip(max=1000)
+        n, value = rounds(1500, [[float(r)] for r in y])
+        assert value == np.sort(y)[1500] and n <= 9
+    finally:
+        del TL.MEASURES["plain"]
+
+
 def test_knn_tiles(emb):
     a = N.knn_cosine(emb, emb, "vec_id", "vec_id", "embedding", "embedding", 7, skip_same=True)
     b = N.knn_cosine(emb, emb, "vec_id", "vec_id", "embedding", "embedding", 7, skip_same=True, tile_rows=60, segment_rows=70)
