@@ -5,7 +5,7 @@ out have to spell ``(s?(ua)+)?``. From a node each edit leads to one node only,
 
 One conversation may hold any share of all rows, so no task gets a whole one. Narrow rows (role, text digest, fault) are
 range-sorted by conversation and turn; a task cuts what it sees of a conversation into segments of at most ``SEGMENT`` rows
-and searches each from every role it can be entered with to every role it can be left with. A segment's audits end in a
+and searches each from every role it can be entered with to every role it can be left with (one search where it sees the conversation whole). A segment's audits end in a
 consumed row, so two of them are never prefixes of each other, and sixteen costs with the alphabetical ranks of the audits
 are all that a conversation's segments need to be chained. The digest of a repaired conversation is a chain of SHA-256
 blocks: rows stream through it in order, sorted on disk, one at a time.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -139,14 +140,15 @@ def chain(segments: list[tuple[list[int], list[int]]]) -> tuple[int, list[int]]:
     left = [INSERT * len(_CLOSE[x]) for x in range(4)]
     choices = []
     for costs, ranks in reversed(segments):
-        chosen = [min((costs[4 * e + x] + left[x], ranks[4 * e + x], x) for x in range(4) if costs[4 * e + x] >= 0) for e in range(4)]
+        nothing = (math.inf, 0, 0)  # an entry that was not searched, since nothing leads to it
+        chosen = [min(((costs[4 * e + x] + left[x], ranks[4 * e + x], x) for x in range(4) if costs[4 * e + x] >= 0), default=nothing) for e in range(4)]
         choices.append([c[2] for c in chosen])
         left = [c[0] for c in chosen]
     picks, state = [], START
     for choice in reversed(choices):
         picks.append(4 * state + choice[state])
         state = choice[state]
-    return left[START], picks
+    return int(left[START]), picks
 
 
 # Spark
@@ -222,31 +224,60 @@ def segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "turn", "role", "digest", "fault")
 
     def run(stream: Iterator[tuple]) -> Iterator[dict]:
-        from itertools import islice
-
         from pyspark import TaskContext
 
-        part, seg = TaskContext.get().partitionId(), 0
-        for (conv,), run_ in _runs(stream):
-            while held := list(islice(run_, size)):
-                yield {"conv_id": conv, "part": part, "seg": seg} | _segment(held)
-                seg += 1
+        part, seg, held, starts = TaskContext.get().partitionId(), 0, [], False
+
+        def out(ends: bool) -> dict:
+            return {"conv_id": held[0][0], "part": part, "seg": seg} | _segment(held, starts, ends)
+
+        for row in stream:
+            # The first conversation of a partition may have begun, and the last may go on, in another one.
+            other = bool(held) and row[0] != held[0][0]
+            if other or len(held) == size:
+                yield out(other)
+                seg, held, starts = seg + 1, [], other
+            held.append(row)
+        if held:
+            yield out(False)
 
     return aside(_stream(ordered, run, " ".join(ddl.split())), "conversation-segments")
 
 
-def _segment(held: list[tuple]) -> dict:
+def _passages(rows: list[tuple[str, str]], starts: bool, ends: bool) -> dict[tuple[int, int], tuple[int, str]]:
+    """(cost, audit) by (entry, exit). Where a conversation is known to start or end, only what can come of it is searched."""
+    found = {}
+    for entry in (START,) if starts else range(4):
+        if ends:
+            cost, audit = cheapest(rows, entry, (START, AFTER_A), True)
+            consumed = audit.rstrip("I")
+            state, i = entry, 0
+            for letter in consumed:
+                if letter in "RI":
+                    state = _NEXT[state][1]
+                elif letter == "K":
+                    state = _kept(state, rows[i][0])
+                i += letter != "I"
+            found[entry, state] = cost - INSERT * len(_CLOSE[state]), consumed
+            continue
+        for leave in range(4):
+            one = cheapest(rows, entry, (leave,), False)
+            if one is not None:
+                found[entry, leave] = one
+    return found
+
+
+def _segment(held: list[tuple], starts: bool, ends: bool) -> dict:
     initials = [r[2][:1] for r in held]
     faults = [r[4] for r in held]
     turns = [r[1] for r in held if r[1] is not None]
-    rows = list(zip(initials, faults, strict=True))
-    costs, ranks, audits = [], [], []
+    found = _passages(list(zip(initials, faults, strict=True)), starts, ends)
+    costs, ranks, audits = [-1] * 16, [-1] * 16, [None] * 16
     for entry in range(4):
-        found = [cheapest(rows, entry, (x,), False) for x in range(4)]
-        order = sorted(f[1] for f in found if f)
-        costs += [f[0] if f else -1 for f in found]
-        ranks += [order.index(f[1]) if f else -1 for f in found]
-        audits += [f[1] if f else None for f in found]
+        order = sorted(audit for (e, _), (_, audit) in found.items() if e == entry)
+        for (e, leave), (cost, audit) in found.items():
+            if e == entry:
+                costs[4 * e + leave], ranks[4 * e + leave], audits[4 * e + leave] = cost, order.index(audit), audit
     return {
         "n_blank": faults.count(BLANK),
         "n_duplicate": faults.count(DUPLICATE),

@@ -83,7 +83,8 @@ def test_search_and_chain_equal_the_table():
         assert C.cheapest(rows, C.START, (C.START, C.AFTER_A), True) == want, rows
         if rows:
             size = rng.randint(1, 9)
-            parts = [C._segment([("c", 0, i, b"", f) for i, f in rows[at : at + size]]) for at in range(0, len(rows), size)]
+            known = rng.random() < 0.5  # whether the task sees where the conversation starts and ends
+            parts = [C._segment([("c", 0, i, b"", f) for i, f in rows[at : at + size]], known and at == 0, known and at + size >= len(rows)) for at in range(0, len(rows), size)]
             cost, picks = C.chain([(p["costs"], p["ranks"]) for p in parts])
             audit = "".join(p["audits"][k] for p, k in zip(parts, picks, strict=True)) + C._CLOSE[picks[-1] % 4]
             assert (cost, audit) == want, rows
