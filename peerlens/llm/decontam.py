@@ -221,7 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
     """(doc_id, contaminated, n_items, item_ids, min_edits), then the input's columns, one row per input row.
 
     ``item_ids``: the matched items, ascending, comma-joined (empty if none); ``min_edits``: the fewest edits among the
-    first regions found for them, null if none. Null and empty texts are clean. Benchmark rows with a null id or text, or with fewer than
+    first regions found for them, null if none. Null and empty texts are clean. Items' ids are whole numbers. Benchmark rows with a null id or text, or with fewer than
     ``min_chars`` plain characters, say too little to prove a leak and match nothing; of an item of more than 120, each
     passage of 120 is looked for. Repeated documents are judged
     each, repeated items count once. Own columns of these names are replaced.
@@ -229,7 +229,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
     own = ("contaminated", "n_items", "item_ids", "min_edits")
     if threshold(min_chars, rate) < 1 or threshold(WINDOW, rate) < 1:
         raise ValueError("the edit rate leaves no shared q-gram to find a region by")
-    out = docs.drop(*own).withColumn("_found", F.lit(None).cast("array<struct<item:bigint,edits:int>>"))
+    mark = "_found"
+    while mark in docs.columns:
+        mark += "_"
+    out = docs.drop(*own).withColumn(mark, F.lit(None).cast("array<struct<item:bigint,edits:int>>"))
     for items in _blocks(benchmark, "item_id", "text", block_bytes):
         block = Block(items, rate, min_chars)
         names = out.columns
@@ -241,13 +244,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE
                 yield pa.record_batch([*part.columns[:-1], pa.array(found, pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())])))], names)
 
         out = streams(out, run, out.schema)
-    items = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["item"])))
+    items = F.array_sort(F.array_distinct(F.transform(mark, lambda x: x["item"])))
     return out.select(
         F.col(id_col),
-        (F.size("_found") > 0).alias("contaminated"),
+        (F.size(mark) > 0).alias("contaminated"),
         F.size(items).alias("n_items"),
         F.array_join(F.transform(items, lambda x: x.cast("string")), ",").alias("item_ids"),
-        F.array_min(F.transform("_found", lambda x: x["edits"])).alias("min_edits"),
+        F.array_min(F.transform(mark, lambda x: x["edits"])).alias("min_edits"),
         *[c for c in docs.columns if c not in own and c != id_col],
     )
 

@@ -25,6 +25,8 @@ from peerlens.llm.common import aside, crc_share, streams, table
 NGRAMS = (3, 4, 5)
 LANDMARKS, LANDMARK_BYTES = 8, 20_000
 SAMPLE = 1_500
+#: A document whose best language has a smaller score is rejected by ``keep_recognised``.
+LEAST_SCORE = 0.35
 RIDGE = 1e-3
 UNKNOWN = "und"
 _TABLE_BITS = 20
@@ -135,9 +137,11 @@ def fit(train: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridg
         return None
     languages = sorted(counts)
     rows = aside(_sampled(rows.select("doc_id", "text", "lang"), counts, sample, seed), "langid-sample")
-    # Landmarks: the first in hash order among texts of a bounded length, longer than a few words where there are any.
+    # Landmarks: the first in hash order among texts longer than a few words, where there are any, and of a bounded length;
+    # of a longer text, used only where there is no other, the middle part is the landmark.
     size = F.octet_length("text")
-    ordered = rows.where(size <= landmark_bytes).select("lang", "text", F.struct(F.when(size >= 200, 0).otherwise(1).alias("s"), F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("h")).alias("o"))
+    middle = F.when(size <= landmark_bytes, F.col("text")).otherwise(F.expr(f"substring(text, cast(greatest(1, (char_length(text) - {landmark_bytes // 4}) / 2) as int), {landmark_bytes // 4})"))
+    ordered = rows.select("lang", middle.alias("text"), F.struct(F.when(size > landmark_bytes, 2).when(size >= 200, 0).otherwise(1).alias("s"), F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("h")).alias("o"))
     sets = [grams(t.lower().encode()) for _, t in sorted(_first_by(ordered, landmarks))]
     if not sets:
         sets = [np.zeros(0, np.uint64)]
@@ -204,13 +208,16 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return found.select("doc_id", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
-def keep_recognised(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Documents with a recognised language, with their own columns; without a model those with a letter."""
+def keep_recognised(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """Documents whose language is recognised with a score of at least ``least``, with their own columns.
+
+    Null and empty texts, texts without a letter, and texts unlike all learned languages go. Without a model those with a letter stay.
+    """
     if model is None:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     own = {f"own_{i}": c for i, c in enumerate(docs.columns)}
     found = identify(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in own.items()]), model, keep=tuple(own))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(k).alias(c) for k, c in own.items()])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(k).alias(c) for k, c in own.items()])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -274,7 +274,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, id_col: str = "item_i
     # One row per block of queries: bounded by query_block pairs, up to the unevenness of the hash.
     blocks = weighed.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item", "term", "w")).alias("queries"))
     if n == 1:
-        pairs = index.withColumn("block", F.lit(0)).join(F.broadcast(blocks), "block")
+        pairs = index.withColumn("block", F.pmod(F.xxhash64("shard"), F.lit(n)).cast("int")).join(F.broadcast(blocks), "block")
     else:
         salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         copies = index.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -27,10 +27,6 @@ def _hash(bits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, bits // 4), 16, 10).cast("long")
 
 
-def _id(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-
-
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, default_weight: float = 1.0, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
     """(source, n, rate): how often a document of each source is to occur on average.
 
@@ -67,24 +63,30 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_wei
     """The input's columns, ``copy`` (1 to the count) and ``shuffle_key``; sorted by the key across and inside partitions.
 
     A document's count is the smallest k whose cumulative probability exceeds its uniform number; a count of zero
-    leaves it out, as the target weights ask. Null ids share the number of the empty id, a null source is a source,
-    empty or long texts are carried along unread. Repeated rows have one id, so they get equal counts and keys.
-    Own columns named ``copy`` or ``shuffle_key`` are replaced.
+    leaves it out, as the target weights ask. Rows with a null id are numbered (in a written table) and drawn by number, each
+    on its own; a null source is a source, empty or long texts are carried along unread. Repeated rows with an id have equal counts
+    and keys. Own columns named ``copy`` or ``shuffle_key`` are replaced, all others kept whatever their names.
     """
     docs = docs.drop("copy", "shuffle_key")
     spark = docs.sparkSession
-    names = docs.columns
+    # The row travels as one struct, so that its columns cannot meet the names used here.
+    whole = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("_source"), F.col(id_col).cast("string").alias("_id"))
+    nameless = packed.where("_id IS NULL")
+    if not nameless.isEmpty():
+        numbered = aside(nameless.withColumn("_id", F.concat(F.lit("row "), F.monotonically_increasing_id())), "mixing-nameless")
+        packed = packed.where("_id IS NOT NULL").unionByName(numbered)
     dealt = _with_distribution(rates(docs, weights, default_weight, epochs, source_col)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = dealt.select(F.struct(F.col("source").alias("s"), "salt").alias("_rate_key"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
-    keyed = docs.withColumn("_rate_key", F.struct(F.col(source_col).alias("s"), F.pmod(F.xxhash64(_id(id_col)), F.lit(SALTS)).cast("int").alias("salt")))
-    uniform = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: _hash(32, F.lit(seed), j, _id(id_col)) / F.lit(2.0**32))
+    keyed = packed.withColumn("_rate_key", F.struct(F.col("_source").alias("s"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("salt")))
+    uniform = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: _hash(32, F.lit(seed), j, F.col("_id")) / F.lit(2.0**32))
     count = F.aggregate(uniform, F.lit(0), lambda total, u: total + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
-    counted = keyed.join(dealt, keyed["_rate_key"].eqNullSafe(dealt["_rate_key"])).select(*names, count.alias("_count")).where("_count > 0")
-    copies = counted.select(*names, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
-    keys = copies.withColumn("shuffle_key", _hash(_BITS, F.lit(seed), _id(id_col), F.col("copy")))
+    counted = keyed.join(dealt, keyed["_rate_key"].eqNullSafe(dealt["_rate_key"])).select("_row", "_id", count.alias("_count")).where("_count > 0")
+    copies = counted.select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
+    keys = copies.withColumn("shuffle_key", _hash(_BITS, F.lit(seed), F.col("_id"), F.col("copy")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.floor(F.col("shuffle_key") / F.lit(2.0**_BITS) * n).cast("int")
-    return keys.repartitionById(n, place).sortWithinPartitions("shuffle_key", id_col, "copy")
+    return keys.repartitionById(n, place).sortWithinPartitions("shuffle_key", "_id", "copy").select(*whole, "copy", "shuffle_key")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ from peerlens.llm.common import SPACES, aside, table
 
 _SIGN = r"[^\x20\x09-\x0D]"
 
-#: A line is boilerplate if more documents of its host have it than this many and than this share of them.
-MIN_DOCS, MAX_SHARE = 10, 0.01
+#: A line is boilerplate if more documents of its host than this have it, however large the host is.
+MIN_DOCS = 10
 #: A document is depleted if boilerplate lines hold more than this share of its word characters.
 MAX_LOSS = 0.5
 
@@ -73,7 +73,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str, clean:
     )
 
 
-def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", clean: bool = False) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_loss: float = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", clean: bool = False) -> DataFrame:
     """One row per input row: the counts, ``base_failed``, ``n_line_chars`` (word characters in boilerplate lines), ``kept``.
 
     With ``clean`` also ``clean_text``: the text without its boilerplate lines, all other lines as they are, null for a
@@ -85,9 +85,8 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SH
     """
     # Row numbers are fixed by writing them.
     rows = aside(_counted(docs, id_col, text_col, host_col, clean), "quality-rows")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    common = aside(lines.join(hosts, "host").where(F.col("n") > F.col("docs") * max_share).select("host", "h"), "quality-lines")
+    common = aside(lines.select("host", "h"), "quality-lines")
     hits = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.c").join(common, ["host", "h"])
     lost = hits.groupBy("row").agg(F.sum("c").alias("lost"), *[F.collect_set("h").alias("gone")] * clean)
     out = rows.drop("lines").join(lost, "row", "left").withColumn("n_line_chars", F.coalesce(F.col("lost"), F.lit(0)).cast("long"))
@@ -113,8 +112,7 @@ cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 l AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d),
 ln AS (SELECT r, host, line, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS k, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
-hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-com AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT r) AS n FROM ln GROUP BY host, k) JOIN hosts USING (host) WHERE n > {MIN_DOCS} AND n > docs * {MAX_SHARE}::DOUBLE),
+com AS (SELECT host, k FROM ln GROUP BY host, k HAVING count(DISTINCT r) > {MIN_DOCS}),
 lost AS (SELECT r, sum(c) AS c FROM ln JOIN com USING (host, k) GROUP BY r),
 m AS (SELECT d.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.c, 0)::BIGINT AS n_line_chars
  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)),

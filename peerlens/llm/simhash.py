@@ -10,17 +10,21 @@ found by looking up flipped bits, never by pairing rows, and only one link per m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerlens.llm.common import aside, batches, table, text_bytes
+from peerlens.llm.common import aside, batches, streams, table, text_bytes
 
 BITS, BLOCKS, MAX_BITS, SHINGLE = 64, 8, 2, 3
+#: Near copies by similarity: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint (four 16-bit blocks
+#: each), differing bits of the first 128 that are let through to the exact check, rows of a bucket compared at a time.
+STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 12, 30, 2048
 _WIDTH = BITS // BLOCKS
 
 
@@ -142,7 +146,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHIN
     """(doc_id, fingerprint, component_id), one row per input row.
 
     Null and wordless texts have fingerprint zero and are linked like any other. Repeated rows stay, each with its
-    group. A null id never names a group: it counts as larger than every id; a group of null ids only gets null.
+    group. Ids are whole numbers. A null id never names a group: it counts as larger than every id; a group of null ids only gets null.
     Other columns of the input are not looked at.
     """
     last = F.lit((1 << 63) - 1)
@@ -161,11 +165,185 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, words: int = SHINGLE)
     Rows are told apart by numbers of their own, so null and repeated ids say nothing about the texts.
     """
     # Row numbers are fixed by writing them.
-    rows = aside(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    found = near_duplicates(rows, max_bits, words, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("_row").alias("row"))
-    first = found.join(rows.select("_row", order.alias("order")), "_row").groupBy("component_id").agg(F.min("order").alias("order"))
-    return rows.join(first.select(F.col("order.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = _unused(docs)
+    rows = aside(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(rows, max_bits, words, id_col=row).select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(rows.select(F.col(row).alias("row"), _order(row).alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _unused(docs: DataFrame) -> str:
+    """A column name that the table does not have."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _order(row: str) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col(row).alias("row"))
+
+
+# Near copies by similarity
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; fewer words make one shingle, none make none."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = np.concatenate([[0], ends[:-words]]).tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 independent-looking bits of each hash (the finaliser of splitmix64)."""
+    x = hashes + np.uint64((0x9E37_79B9_7F4A_7C15 * (lane + 1)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58_476D_1CE4_E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D0_49BB_1331_11EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """A SimHash of 64 * lanes bits as big-endian bytes."""
+    out = np.empty(lanes * 8, np.uint8)
+    for lane in range(lanes):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 1 << 12):
+            part = _lane(hashes[at : at + (1 << 12)], lane).astype(">u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint16)
+        out[lane * 8 : lane * 8 + 8] = np.packbits(2 * ones > len(hashes))
+    return out
+
+
+def _bucket_leaders(prints: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(leaders, members) within ``most`` bits. Members within half of that need no leader of their own, so a
+    large group of near copies has few, and a member has one link for each leader near it: never all pairs."""
+    left, right, open_ = [], [], np.ones(len(prints), bool)
+    while open_.any():
+        leader = int(open_.argmax())
+        far = np.bitwise_count(prints ^ prints[leader]).sum(axis=1)
+        open_ &= far > most // 2
+        open_[leader] = False
+        near = np.flatnonzero(far <= most)
+        near = near[near != leader]
+        left.append(np.full(len(near), leader))
+        right.append(near)
+    return left, right
+
+
+def similar_links(reps: DataFrame, most: int = RADIUS) -> DataFrame:
+    """(a, b): rows that share a block and differ in at most ``most`` of the 128 checked bits, joined through leaders.
+
+    ``reps`` has (row, keys, v1, v2). A bucket is read in slices of ``SLICE`` rows; a slice's leaders are carried to the next
+    ones, so that a group of near copies of any size is linked in bounded memory.
+    """
+    filed = reps.select(F.explode("keys").alias("key"), "row", "v1", "v2")
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, prints = None, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+        fresh = 0
+
+        def links() -> pa.RecordBatch:
+            left, right = _bucket_leaders(prints, most)
+            a, b = (np.concatenate(x) for x in (left, right))
+            low, high = np.minimum(rows[a], rows[b]), np.maximum(rows[a], rows[b])
+            return pa.record_batch([pa.array(low), pa.array(high)], ["a", "b"])
+
+        for part in parts:
+            keys, ids, v1, v2 = (c.to_numpy() for c in part.columns)
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if keys[s] != key:
+                    if len(rows) > 1 and fresh:
+                        yield links()
+                    key, rows, prints, fresh = keys[s], rows[:0], prints[:0], 0
+                rows = np.concatenate([rows, ids[s:e]])
+                prints = np.concatenate([prints, np.stack([v1[s:e], v2[s:e]], axis=1).view(np.uint64)])
+                fresh += e - s
+                if fresh >= SLICE:
+                    yield links()
+                    leaders = _leaders(prints, most)
+                    rows, prints, fresh = rows[leaders], prints[leaders], 0
+        if len(rows) > 1 and fresh:
+            yield links()
+
+    ready = filed.repartition(n, "key").sortWithinPartitions("key", "row")
+    return streams(ready, run, "a long, b long").distinct()
+
+
+def _leaders(prints: np.ndarray, most: int) -> np.ndarray:
+    found, open_ = [], np.ones(len(prints), bool)
+    while open_.any():
+        leader = int(open_.argmax())
+        found.append(leader)
+        open_ &= np.bitwise_count(prints ^ prints[leader]).sum(axis=1) > most // 2
+        open_[leader] = False
+    return np.array(found)
+
+
+def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: float = SIMILARITY, most: int = RADIUS) -> DataFrame:
+    """Documents without their near copies: of texts joined by pairs of Jaccard similarity ``similarity`` or more over their sets of
+    ``words``-word shingles one row stays, whole.
+
+    A fingerprint of 64 * ``LANES`` bits is cut into 16-bit blocks. Two texts of similarity 0.8 differ in a bit with
+    probability 0.15, so they share one of 48 blocks with probability 0.97 and, within ``RADIUS`` of 128 bits, pass the check of the distance
+    with 0.99; what passes is decided by the exact similarity of the shingle sets. Equal sets (copies in other
+    letter case or spacing, too) meet in an aggregate and need no blocks.
+
+    The row with the smallest doc_id stays, a null one last; of rows that share it the one with the smallest text hash. Rows are
+    told apart by numbers of their own, so ids may be null, repeated or of any type. Texts without words (null, empty) are
+    copies of each other. All columns come back as they were, whatever their names.
+    """
+    row = _unused(docs)
+    rows = aside(docs.withColumn(row, F.monotonically_increasing_id()), "similar-rows")
+    texts = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same, keys, checked = [], [], []
+        for text in text_bytes(batch.column(1)):
+            found = shingle_set(text, words)
+            same.append(xxhash.xxh3_128_digest(found.tobytes()))
+            wide = wide_fingerprint(found, LANES)
+            keys.append(wide.view(">u2").astype(np.int32) + (np.arange(LANES * 4, dtype=np.int32) << 16))
+            checked.append(wide[:16].view(">u8").astype(np.uint64).view(np.int64))
+        v = np.array(checked).reshape(-1, 2)
+        return pa.record_batch([batch.column(0), pa.array(same, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int32())), pa.array(v[:, 0]), pa.array(v[:, 1])], ["row", "same", "keys", "v1", "v2"])
+
+    marked = aside(batches(texts, prints, "row long, same binary, keys array<int>, v1 long, v2 long"), "similar-prints")
+    first = marked.groupBy("same").agg(F.min("row").alias("rep"))
+    first = aside(first, "similar-sets")
+    reps = marked.join(first.select(F.col("rep").alias("row")), "row", "left_semi")
+    close = aside(similar_links(reps, most), "similar-candidates")
+    asked = close.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], ["row", "hashes"])
+
+    hashed = aside(batches(texts.join(asked, "row", "left_semi"), sets, "row long, hashes binary"), "similar-texts")
+    both = close.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(shared >= similarity * (len(x) + len(y) - shared))
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        return pa.record_batch([kept.column(0), kept.column(1)], ["a", "b"])
+
+    edges = batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long")
+    labels = components(first.select(F.col("rep").alias("fp"), F.col("rep").alias("label")), edges)
+    named = first.join(labels.select(F.col("fp").alias("rep"), F.col("label").alias("linked")), "rep", "left").select("same", F.coalesce("linked", "rep").alias("label"))
+    grouped = marked.select("row", "same").join(named, "same").select("row", "label")
+    best = grouped.join(rows.select(F.col(row).alias("row"), _order(row).alias("order")), "row").groupBy("label").agg(F.min("order").alias("o"))
+    return rows.join(best.select(F.col("o.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
