@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from peerlens.catalog.base import query, r6, sql_hash, t
+from peerlens.catalog.io import title_abstract
 from peerlens.catalog.texts import NAMES_SQL, author_rows, clean_sql, filter_sql
 from peerlens.functions import arrays as A
 from peerlens.functions import text as X
 from peerlens.functions.hashing import portable_hash
+from peerlens.operators import cbow as CB
 from peerlens.operators import graph as GR
 from peerlens.operators import sets as S
 from peerlens.operators import tfidf as TF
 from peerlens.operators import wordvec as WV
 from peerlens.plans import graph as GP
 from peerlens.plans import membership as MB
+from peerlens.plans import papers as PP
 from peerlens.runtime import pin, spread
 
 
@@ -226,28 +229,79 @@ def doc_tokens(spark, sf):
     return spread(t(spark, sf, "documents").select("source", "doc_id", "text")).select("source", "doc_id", X.tokens(X.clean("text"), X.STOP_WORDS).alias("tokens"))
 
 
-def _model(spark, sf):
-    return WV.train(doc_tokens(spark, sf), "tokens", size=32, min_count=2, window=5, epochs=1)
+def raw_papers(spark, sf):
+    """Documents as raw paper records."""
+    d = title_abstract(t(spark, sf, "documents"))
+    author = lambda n, o: F.struct(n.alias("name"), o.alias("org"))
+    first, second = F.substring_index("title", " ", 2), F.substring_index("title", " ", -2)
+    return spread(d).select(
+        F.col("doc_id").cast("string").alias("id"), "title", "abstract",
+        F.array("lang", F.concat_ws(" ", "source", "lang")).alias("keywords"),
+        F.array(author(first, F.col("title")), author(second, F.col("source"))).alias("authors"),
+        F.col("source").alias("venue"), F.col("n_chars").cast("string").alias("year"), F.col("source").alias("group"),
+    )
+
+
+# Fixed values of the two corpora; vectors of 128 numbers, 5 negatives and 30 epochs are the operator's defaults.
+PAPER_WORDS, ORG_WORDS = {"min_count": 2, "window": 10}, {"min_count": 5, "window": 5}
+SIZE = 128
+
+
+def token_papers(spark, sf):
+    """Documents as paper records of tokens, with their group; cleaned and filtered like ``clean_paper_records``, but not stemmed."""
+    raw = raw_papers(spark, sf)
+    words = lambda c: X.tokens(X.clean(c), X.STOP_WORDS)
+    org = lambda a: F.array_join(F.sort_array(F.array_distinct(words(a["org"]))), ",")
+    authors = F.transform("authors", lambda a: F.struct(a["name"].alias("name"), F.when(org(a) == "", "NULL").otherwise(org(a)).alias("org")))
+    return pin(
+        raw.select(
+            "id", F.col("group").alias("source"), authors.alias("authors"), X.clean_year("year").alias("year"),
+            words("title").alias("title"), words("abstract").alias("abstract"), words("venue").alias("venue"),
+            words(F.array_join("keywords", " ")).alias("keywords"),
+        ), "papers",
+    )
+
+
+def _paper_words(papers):
+    return CB.train(PP.paper_corpus(papers), "tokens", size=SIZE, **PAPER_WORDS)
 
 
 @query("w2v_train")
 def w2v_train(spark, sf):
-    return WV.vectors(_model(spark, sf)).select("word", A.r6(A.norm("vector")).alias("length"))
+    return _paper_words(token_papers(spark, sf)).select("word", "n", A.r6(A.norm(A.doubles("vector"))).alias("length"))
+
+
+@query("w2v_org_train")
+def w2v_org_train(spark, sf):
+    return CB.train(PP.org_corpus(token_papers(spark, sf)), "tokens", size=SIZE, **ORG_WORDS).select("word", "n", A.r6(A.norm(A.doubles("vector"))).alias("length"))
 
 
 @query("w2v_synonyms")
 def w2v_synonyms(spark, sf):
-    return _model(spark, sf).findSynonyms("est", 10).select("word", A.r6("similarity").alias("similarity"))
+    table = pin(_paper_words(token_papers(spark, sf)), "words")
+    common = table.orderBy(F.desc("n"), "word").first()
+    return CB.synonyms(table, common["word"] if common else "", 10).select("word", A.r6("similarity").alias("similarity"))
+
+
+def word_features(papers, group, key, detectors=("all", "title", "abstract")):
+    """Word-vector features of all seven fields; organisations have a model of their own."""
+    words, orgs = pin(_paper_words(papers), "words"), pin(CB.train(PP.org_corpus(papers), "tokens", size=SIZE, **ORG_WORDS), "org-words")
+    year = F.when(F.col("year") > 0, F.array(F.col("year").cast("string"))).otherwise(F.array().cast("array<string>"))
+    # Organisations of the authors that are not the group's own; a document's group is no author, so of all.
+    listed = F.filter(F.flatten(F.transform("authors", lambda a: F.split(a["org"], ","))), lambda w: w != "NULL")
+    fields = pin(
+        papers.select(
+            group, F.col("id").cast("long").alias(key), *PP.TEXTS, listed.alias("orgs"),
+            F.concat("title", "abstract").alias("title_abstract"), F.concat(*PP.TEXTS, year).alias("everything"),
+        ), "fields",
+    )
+    names = {"all": "everything", **{c: c for c in PP.TEXTS}, "orgs": "orgs", "title_abstract": "title_abstract"}
+    return MB.word_vector_blocks(fields, group, key, names, words, size=SIZE, tables={"orgs": orgs}, detectors=detectors)
 
 
 @query("w2v_features")
 def w2v_features(spark, sf):
-    table = pin(WV.vectors(_model(spark, sf)), "words")
-    title = X.tokens(X.clean(F.substring_index("text", "\n", 1)), X.STOP_WORDS)
-    d = t(spark, sf, "documents").select("source", "doc_id", "text")
-    d = pin(spread(d).select("source", "doc_id", title.alias("title"), X.tokens(X.clean("text"), X.STOP_WORDS).alias("everything")), "tokens")
-    fields = {"title": "title", "all": "everything"}
-    return MB.word_vector_blocks(d, "source", "doc_id", fields, table, size=32, detectors=("all",), rounds=2)
+    return word_features(token_papers(spark, sf), "source", "doc_id")
 
 
 _HASHV = "[" + ", ".join(f"({sql_hash(i, 'word')} % 1000) / 500.0::DOUBLE - 1" for i in range(4)) + "]"
