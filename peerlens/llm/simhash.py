@@ -23,8 +23,10 @@ from peerlens.llm.common import aside, batches, streams, table, text_bytes
 
 BITS, BLOCKS, MAX_BITS, SHINGLE = 64, 8, 2, 3
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint (four 16-bit blocks
-#: each), differing bits of the first 128 that are let through to the exact check, rows of a bucket compared at a time.
-STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 12, 30, 2048
+#: each), differing bits of the first 128 that are let through to the exact check, rows of buckets compared at a time.
+STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 14, 30, 8192
+#: Buckets up to this many rows are compared in full.
+SMALL = 16
 _WIDTH = BITS // BLOCKS
 
 
@@ -221,71 +223,100 @@ def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def _bucket_leaders(prints: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(leaders, members) within ``most`` bits. Members within half of that need no leader of their own, so a
-    large group of near copies has few, and a member has one link for each leader near it: never all pairs."""
-    left, right, open_ = [], [], np.ones(len(prints), bool)
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1).astype(np.int32)
+
+
+def _small_buckets(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earlier row, row, differing bits): for each row of equal neighbouring keys the nearest earlier row with its key, within ``most`` bits."""
+    best = np.full(len(keys), most + 1, np.int32)
+    place = np.zeros(len(keys), np.int64)
+    step = 1
+    while step < len(keys):
+        at = np.flatnonzero(keys[step:] == keys[:-step])
+        if not len(at):
+            break
+        bits = _differ(prints[at], prints[at + step])
+        better = bits < best[at + step]
+        best[at[better] + step], place[at[better] + step] = bits[better], at[better]
+        step += 1
+    found = np.flatnonzero(best <= most)
+    return place[found], found, best[found]
+
+
+def _large_bucket(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leader, row, differing bits) and the leaders: each row's nearest earlier leader within ``most`` bits.
+
+    A row further than half of ``most`` from all earlier leaders is one itself, so a large group of near copies has few.
+    """
+    best, place, leaders = np.full(len(prints), most + 1, np.int32), np.zeros(len(prints), np.int64), []
+    open_ = np.ones(len(prints), bool)
     while open_.any():
         leader = int(open_.argmax())
-        far = np.bitwise_count(prints ^ prints[leader]).sum(axis=1)
-        open_ &= far > most // 2
+        leaders.append(leader)
+        bits = _differ(prints[leader + 1 :], prints[leader])
+        after = np.flatnonzero(bits < best[leader + 1 :])
+        best[after + leader + 1], place[after + leader + 1] = bits[after], leader
         open_[leader] = False
-        near = np.flatnonzero(far <= most)
-        near = near[near != leader]
-        left.append(np.full(len(near), leader))
-        right.append(near)
-    return left, right
+        open_[leader + 1 :] &= bits > most // 2
+    found = np.flatnonzero(best <= most)
+    return place[found], found, best[found], np.array(leaders)
 
 
 def similar_links(reps: DataFrame, most: int = RADIUS) -> DataFrame:
-    """(a, b): rows that share a block and differ in at most ``most`` of the 128 checked bits, joined through leaders.
+    """(b, near): for a row the struct (bits, a) of its nearest earlier rows in the blocks it shares, within ``most`` of the 128 checked bits.
 
-    ``reps`` has (row, keys, v1, v2). A bucket is read in slices of ``SLICE`` rows; a slice's leaders are carried to the next
-    ones, so that a group of near copies of any size is linked in bounded memory.
+    ``reps`` has (row, keys, v1, v2). A row has one link for each block at most, never all pairs of a bucket. A bucket is read in
+    slices of ``SLICE`` rows whose leaders go on to the next slice, so that a group of near copies of any size is
+    linked in bounded memory.
     """
     filed = reps.select(F.explode("keys").alias("key"), "row", "v1", "v2")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, prints = None, np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-        fresh = 0
+        keys, rows, prints = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
 
-        def links() -> pa.RecordBatch:
-            left, right = _bucket_leaders(prints, most)
-            a, b = (np.concatenate(x) for x in (left, right))
-            low, high = np.minimum(rows[a], rows[b]), np.maximum(rows[a], rows[b])
-            return pa.record_batch([pa.array(low), pa.array(high)], ["a", "b"])
+        def links(end: bool) -> Iterator[pa.RecordBatch]:
+            """Works on what is held; unless it is the end, the last key may go on, and its rows or leaders are kept."""
+            nonlocal keys, rows, prints
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            starts, stops = np.append(0, cuts), np.append(cuts, len(keys))
+            large = stops - starts > SMALL
+            last = len(starts) - 1
+            open_ = not end
+            small = np.repeat(~large, stops - starts)
+            if open_ and not large[last]:
+                small[starts[last] :] = False
+            own = np.flatnonzero(small)
+            a, b, bits = _small_buckets(keys[own], prints[own], most)
+            found = [(own[a], own[b], bits)]
+            keep = np.arange(starts[last], stops[last]) if open_ else np.zeros(0, np.int64)
+            for i in np.flatnonzero(large):
+                a, b, bits, leaders = _large_bucket(prints[starts[i] : stops[i]], most)
+                found.append((a + starts[i], b + starts[i], bits))
+                if open_ and i == last:
+                    keep = leaders + starts[i]
+            a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+            out = pa.record_batch([pa.array(rows[a]), pa.array(rows[b]), pa.array(bits)], ["a", "b", "bits"])
+            keys, rows, prints = keys[keep], rows[keep], prints[keep]
+            if out.num_rows:
+                yield out
 
+        fresh = 0
         for part in parts:
-            keys, ids, v1, v2 = (c.to_numpy() for c in part.columns)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if keys[s] != key:
-                    if len(rows) > 1 and fresh:
-                        yield links()
-                    key, rows, prints, fresh = keys[s], rows[:0], prints[:0], 0
-                rows = np.concatenate([rows, ids[s:e]])
-                prints = np.concatenate([prints, np.stack([v1[s:e], v2[s:e]], axis=1).view(np.uint64)])
-                fresh += e - s
-                if fresh >= SLICE:
-                    yield links()
-                    leaders = _leaders(prints, most)
-                    rows, prints, fresh = rows[leaders], prints[leaders], 0
-        if len(rows) > 1 and fresh:
-            yield links()
+            k, ids, v1, v2 = (c.to_numpy() for c in part.columns)
+            keys, rows, prints = np.concatenate([keys, k]), np.concatenate([rows, ids]), np.concatenate([prints, np.stack([v1, v2], axis=1).view(np.uint64)])
+            fresh += len(k)
+            if fresh >= SLICE:
+                yield from links(False)
+                fresh = 0
+        if len(keys):
+            yield from links(True)
 
     ready = filed.repartition(n, "key").sortWithinPartitions("key", "row")
-    return streams(ready, run, "a long, b long").distinct()
-
-
-def _leaders(prints: np.ndarray, most: int) -> np.ndarray:
-    found, open_ = [], np.ones(len(prints), bool)
-    while open_.any():
-        leader = int(open_.argmax())
-        found.append(leader)
-        open_ &= np.bitwise_count(prints ^ prints[leader]).sum(axis=1) > most // 2
-        open_[leader] = False
-    return np.array(found)
+    found = streams(ready, run, "a long, b long, bits int")
+    # One entry a block at most.
+    return found.groupBy("b").agg(F.sort_array(F.collect_set(F.struct("bits", "a"))).alias("near"))
 
 
 def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: float = SIMILARITY, most: int = RADIUS) -> DataFrame:
@@ -293,7 +324,7 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     ``words``-word shingles one row stays, whole.
 
     A fingerprint of 64 * ``LANES`` bits is cut into 16-bit blocks. Two texts of similarity 0.8 differ in a bit with
-    probability 0.15, so they share one of 48 blocks with probability 0.97 and, within ``RADIUS`` of 128 bits, pass the check of the distance
+    probability 0.15, so they share one of 56 blocks with probability 0.98 and, within ``RADIUS`` of 128 bits, pass the check of the distance
     with 0.99; what passes is decided by the exact similarity of the shingle sets. Equal sets (copies in other
     letter case or spacing, too) meet in an aggregate and need no blocks.
 
@@ -321,13 +352,12 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     first = aside(first, "similar-sets")
     reps = marked.join(first.select(F.col("rep").alias("row")), "row", "left_semi")
     close = aside(similar_links(reps, most), "similar-candidates")
-    asked = close.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    asked = close.select(F.explode(F.concat(F.array("b"), F.col("near.a"))).alias("row")).distinct()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], ["row", "hashes"])
 
     hashed = aside(batches(texts.join(asked, "row", "left_semi"), sets, "row long, hashes binary"), "similar-texts")
-    both = close.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -338,8 +368,16 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
         kept = batch.filter(pa.array(keep, pa.bool_()))
         return pa.record_batch([kept.column(0), kept.column(1)], ["a", "b"])
 
-    edges = batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long")
-    labels = components(first.select(F.col("rep").alias("fp"), F.col("rep").alias("label")), edges)
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
+        return aside(batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long"), name)
+
+    # The nearest of its candidates joins most texts to their group; only where it is not similar enough the others are compared.
+    nodes = first.select(F.col("rep").alias("fp"), F.col("rep").alias("label"))
+    edges = verified(close.select(F.col("near")[0]["a"].alias("a"), "b"), "similar-nearest")
+    others = close.join(edges.select("b"), "b", "left_anti").select(F.explode(F.slice(F.col("near.a"), 2, 4 * LANES)).alias("a"), "b")
+    edges = edges.unionByName(verified(others, "similar-others"))
+    labels = components(nodes, edges)
     named = first.join(labels.select(F.col("fp").alias("rep"), F.col("label").alias("linked")), "rep", "left").select("same", F.coalesce("linked", "rep").alias("label"))
     grouped = marked.select("row", "same").join(named, "same").select("row", "label")
     best = grouped.join(rows.select(F.col(row).alias("row"), _order(row).alias("order")), "row").groupBy("label").agg(F.min("order").alias("o"))
