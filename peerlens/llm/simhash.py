@@ -228,47 +228,47 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _small_buckets(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(earlier row, row, differing bits): for each row of equal neighbouring keys the nearest earlier row with its key, within ``most`` bits."""
-    best = np.full(len(keys), most + 1, np.int32)
-    place = np.zeros(len(keys), np.int64)
-    step = 1
-    while step < len(keys):
+    """(earlier row, row, differing bits) of all rows of equal neighbouring keys within ``most`` bits; keys have at most ``SMALL`` rows."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for step in range(1, SMALL):
         at = np.flatnonzero(keys[step:] == keys[:-step])
         if not len(at):
             break
         bits = _differ(prints[at], prints[at + step])
-        better = bits < best[at + step]
-        best[at[better] + step], place[at[better] + step] = bits[better], at[better]
-        step += 1
-    found = np.flatnonzero(best <= most)
-    return place[found], found, best[found]
+        near = bits <= most
+        found.append((at[near], at[near] + step, bits[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _large_bucket(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(leader, row, differing bits) and the leaders: each row's nearest earlier leader within ``most`` bits.
+    """(leader, row, differing bits) and the leaders: each row's first leader within half of ``most`` bits.
 
-    A row further than half of ``most`` from all earlier leaders is one itself, so a large group of near copies has few.
+    A row further than that from all earlier leaders is one itself, so a large group of near copies has few; it is
+    linked to the nearest earlier leader within ``most``.
     """
     best, place, leaders = np.full(len(prints), most + 1, np.int32), np.zeros(len(prints), np.int64), []
     open_ = np.ones(len(prints), bool)
     while open_.any():
         leader = int(open_.argmax())
         leaders.append(leader)
-        bits = _differ(prints[leader + 1 :], prints[leader])
-        after = np.flatnonzero(bits < best[leader + 1 :])
-        best[after + leader + 1], place[after + leader + 1] = bits[after], leader
         open_[leader] = False
-        open_[leader + 1 :] &= bits > most // 2
+        rest = np.flatnonzero(open_)
+        bits = _differ(prints[rest], prints[leader])
+        nearer = bits < best[rest]
+        best[rest[nearer]], place[rest[nearer]] = bits[nearer], leader
+        near = bits <= most // 2
+        best[rest[near]], place[rest[near]] = bits[near], leader
+        open_[rest[near]] = False
     found = np.flatnonzero(best <= most)
     return place[found], found, best[found], np.array(leaders)
 
 
 def similar_links(reps: DataFrame, most: int = RADIUS) -> DataFrame:
-    """(b, near): for a row the struct (bits, a) of its nearest earlier rows in the blocks it shares, within ``most`` of the 128 checked bits.
+    """(b, near): for a row the structs (bits, a) of earlier rows in the blocks it shares, within ``most`` of the 128 checked bits.
 
-    ``reps`` has (row, keys, v1, v2). A row has one link for each block at most, never all pairs of a bucket. A bucket is read in
-    slices of ``SLICE`` rows whose leaders go on to the next slice, so that a group of near copies of any size is
-    linked in bounded memory.
+    ``reps`` has (row, keys, v1, v2). In a bucket of up to ``SMALL`` rows these are all, in a larger one it is a leader, so a row has a
+    bounded number of links for each block, never all pairs of a bucket. A bucket is read in slices of ``SLICE`` rows whose leaders
+    go on to the next slice, so that a group of near copies of any size is linked in bounded memory.
     """
     filed = reps.select(F.explode("keys").alias("key"), "row", "v1", "v2")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -315,7 +315,7 @@ def similar_links(reps: DataFrame, most: int = RADIUS) -> DataFrame:
 
     ready = filed.repartition(n, "key").sortWithinPartitions("key", "row")
     found = streams(ready, run, "a long, b long, bits int")
-    # One entry a block at most.
+    # Fewer than SMALL entries a block.
     return found.groupBy("b").agg(F.sort_array(F.collect_set(F.struct("bits", "a"))).alias("near"))
 
 
@@ -372,11 +372,14 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
         both = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
         return aside(batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long"), name)
 
-    # The nearest of its candidates joins most texts to their group; only where it is not similar enough the others are compared.
+    # The nearest of its candidates joins most texts to their group; the others are compared only across groups.
     nodes = first.select(F.col("rep").alias("fp"), F.col("rep").alias("label"))
     edges = verified(close.select(F.col("near")[0]["a"].alias("a"), "b"), "similar-nearest")
-    others = close.join(edges.select("b"), "b", "left_anti").select(F.explode(F.slice(F.col("near.a"), 2, 4 * LANES)).alias("a"), "b")
-    edges = edges.unionByName(verified(others, "similar-others"))
+    joined = components(nodes, edges)
+    side = lambda c: joined.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"))
+    others = close.join(side("b"), "b", "left").select("b", "lb", F.explode(F.slice(F.col("near.a"), F.lit(2), F.size("near"))).alias("a"))
+    apart = others.join(side("a"), "a", "left").where("la IS NULL OR lb IS NULL OR la <> lb")
+    edges = edges.unionByName(verified(apart.select("a", "b"), "similar-others"))
     labels = components(nodes, edges)
     named = first.join(labels.select(F.col("fp").alias("rep"), F.col("label").alias("linked")), "rep", "left").select("same", F.coalesce("linked", "rep").alias("label"))
     grouped = marked.select("row", "same").join(named, "same").select("row", "label")
