@@ -11,9 +11,11 @@ from peerlens.functions import arrays as A
 from peerlens.functions import text as X
 from peerlens.functions.hashing import portable_hash
 from peerlens.operators import cbow as CB
+from peerlens.operators import factor as FA
 from peerlens.operators import graph as GR
 from peerlens.operators import sets as S
 from peerlens.operators import tfidf as TF
+from peerlens.operators import vectors as V
 from peerlens.operators import wordvec as WV
 from peerlens.plans import graph as GP
 from peerlens.plans import membership as MB
@@ -86,9 +88,22 @@ def tfi_cosine(spark, sf):
 
 @query("tfi_svd")
 def tfi_svd(spark, sf):
-    d = doc_tokens(spark, sf).select("doc_id", "tokens")
-    s = TF.svd_features(d, "doc_id", "tokens", k=16, features=512)
-    return s.select("doc_id", A.r6(A.norm("svd")).alias("length"))
+    w = TF.tfidf(t(spark, sf, "documents"), "source", "doc_id", "text")
+    s = TF.tfidf_svd(w, "source", "doc_id")
+    return s.select("source", "doc_id", F.size("svd").alias("directions"), A.r6(A.norm("svd")).alias("length"))
+
+
+@query(
+    "tfi_svd_cosine",
+    f"""WITH {tfidf_sql()}, s AS (SELECT g, term, sum(w) AS s FROM wt GROUP BY g, term), k AS (SELECT g, count(DISTINCT d) AS k FROM wt GROUP BY g)
+        SELECT wt.g AS source, d AS doc_id, {r6('(sum(w * s) - 1) / any_value(k)')} AS cos_mean
+        FROM wt JOIN s ON wt.g = s.g AND wt.term = s.term JOIN k ON wt.g = k.g GROUP BY wt.g, d""",
+)
+def tfi_svd_cosine(spark, sf):
+    """With as many directions as documents nothing is lost: cosines equal those of the TF-IDF rows."""
+    w = TF.tfidf(t(spark, sf, "documents"), "source", "doc_id", "text")
+    s = TF.tfidf_svd(w, "source", "doc_id", k=FA.ROWS)
+    return V.cos_mean_linear(s, "source", "doc_id", "svd", "cos_mean").withColumn("cos_mean", A.r6("cos_mean"))
 
 
 _FIELDS = {"title": "split_part(text, chr(10), 1)", "lang": "lang || ' ' || source", "all": "text"}

@@ -297,17 +297,6 @@ def test_isolation_chunks(hot):
     same(a, O.isolation_forest(hot, "grp", "vec_id", "embedding", trees=20, chunk_rows=9))
 
 
-def test_svd_against_numpy(spark):
-    rows = [(i, [f"w{j}" for j in range(i % 5 + 1)]) for i in range(30)]
-    df = spark.createDataFrame(rows, "i long, t array<string>")
-    got = TF.svd_features(df, "i", "t", k=3, features=16).orderBy("i").collect()
-    from pyspark.ml.feature import HashingTF
-
-    tf = HashingTF(inputCol="t", outputCol="x", numFeatures=16).transform(df).orderBy("i").collect()
-    x = np.array([r["x"].toArray() for r in tf])
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    assert np.abs(np.array([r["svd"] for r in got])) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-8)
-
 
 def test_retrieval_blocks(spark, emb):
     d = emb.withColumn("fold", F.col("vec_id") % 3)
