@@ -168,11 +168,11 @@ def gra_adjacency(spark, sf):
     return a.withColumn("papers", F.array_join(F.transform("papers", lambda x: x.cast("string")), ","))
 
 
-_WALKS, _STEPS = 2, 2
+_WALKS, _STEPS = 5, 20  # fixed values
 
 
 def _walk_sql() -> str:
-    parts = [EDGES_SQL, f"w0 AS (SELECT o_custkey AS g, o_orderkey AS p, o_orderkey AS loc, unnest(range({_WALKS})) AS walk, CAST([] AS VARCHAR[]) AS path FROM orders)"]
+    parts = [EDGES_SQL, f"w0 AS MATERIALIZED (SELECT o_custkey AS g, o_orderkey AS p, o_orderkey AS loc, unnest(range({_WALKS})) AS walk, CAST([] AS VARCHAR[]) AS path FROM orders)"]
     for k in ("author", "org"):
         parts.append(
             f"""{k}_h AS (SELECT o_custkey AS g, o_orderkey AS loc, key, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY key) - 1 AS kidx,
@@ -184,7 +184,7 @@ def _walk_sql() -> str:
         for kind, k in enumerate(("author", "org")):
             draw = f"({sql_hash(f'0|{step}|{kind}|p', 'w.p', 'w.walk')} % nullif(h.pdeg - 1, 0))"
             parts.append(
-                f"""w{i + 1} AS (SELECT w.g, w.p, w.walk, coalesce(n.loc, w.loc) AS loc,
+                f"""w{i + 1} AS MATERIALIZED (SELECT w.g, w.p, w.walk, coalesce(n.loc, w.loc) AS loc,
                       CASE WHEN n.loc IS NULL THEN w.path ELSE list_append(w.path, CAST(n.loc AS VARCHAR)) END AS path
                     FROM w{i} w LEFT JOIN (SELECT DISTINCT g, loc, kdeg FROM {k}_h) c ON c.g = w.g AND c.loc = w.loc
                     LEFT JOIN {k}_h h ON h.g = w.g AND h.loc = w.loc AND h.kidx = {sql_hash(f'0|{step}|{kind}|k', 'w.p', 'w.walk')} % c.kdeg
@@ -218,7 +218,7 @@ def _hops(spark, sf):
 @query("gra_walk_embed")
 def gra_walk_embed(spark, sf):
     papers = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    v = GP.walk_vectors(papers, _hops(spark, sf), "o_custkey", "o_orderkey", walks=2, steps=2, size=16, seed=1)
+    v = GP.walk_vectors(papers, _hops(spark, sf), "o_custkey", "o_orderkey")
     return v.select("o_custkey", "o_orderkey", A.r6(A.norm("vector")).alias("length"))
 
 
@@ -226,10 +226,8 @@ def gra_walk_embed(spark, sf):
 def gra_features(spark, sf):
     papers = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
     text = WV.word_mean(order_sets(spark, sf), "o_orderkey", "elements", hash_elements(spark, sf), size=4)
-    block = GP.block_features(pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v", detectors=False)
-    return GP.graph_features(
-        papers, _hops(spark, sf), "o_custkey", "o_orderkey", runs=2, walks=2, steps=2, size=16, text_block=block, detectors=False
-    )
+    block = GP.block_features(pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v")
+    return GP.graph_features(papers, _hops(spark, sf), "o_custkey", "o_orderkey", text_block=block)
 
 
 def hash_elements(spark, sf):

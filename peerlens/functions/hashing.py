@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 SPACE = 1 << 32
 
 
+def text_hash(*parts: Column) -> Column:
+    """Uniform integer in 0 .. 2**32-1 from the md5 of the parts as texts, joined by ``|``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def portable_hash(seed, *cols) -> Column:
-    """Uniform integer in 0 .. 2**32-1 from the md5 of ``seed|col|col..``."""
-    parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    """``text_hash`` of a seed and columns."""
+    return text_hash(F.lit(str(seed)), *[F.col(c) if isinstance(c, str) else c for c in cols])
+
 
 
 def unit_hash(seed, *cols) -> Column:
