@@ -381,13 +381,18 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
         return aside(batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long"), name)
 
     # The nearest of its candidates joins most texts to their group; the others are compared only across groups.
-    nodes = first.select(F.col("rep").alias("fp"), F.col("rep").alias("label"))
     edges = verified(close.select(F.col("near")[0]["a"].alias("a"), "b"), "similar-nearest")
-    joined = components(nodes, edges)
-    side = lambda c: joined.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"))
-    others = close.join(side("b"), "b", "left").select("b", "lb", F.explode(F.slice(F.col("near.a"), F.lit(2), F.size("near"))).alias("a"))
-    apart = others.join(side("a"), "a", "left").where("la IS NULL OR lb IS NULL OR la <> lb")
+    # Each row has one nearest, an earlier one: four steps up these trees tell most joined texts.
+    roots = edges.select(F.col("b").alias("row"), F.col("a").alias("root"))
+    for _ in range(2):
+        up = roots.select(F.col("row").alias("root"), F.col("root").alias("above"))
+        roots = roots.join(up, "root", "left").select("row", F.coalesce("above", "root").alias("root"))
+    roots = aside(roots, "similar-roots")
+    side = lambda c: roots.select(F.col("row").alias(c), F.col("root").alias(f"r{c}"))
+    others = close.join(side("b"), "b", "left").select("b", "rb", F.explode(F.slice(F.col("near.a"), F.lit(2), F.size("near"))).alias("a"))
+    apart = others.join(side("a"), "a", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     edges = edges.unionByName(verified(apart.select("a", "b"), "similar-others"))
+    nodes = first.join(roots.select(F.col("row").alias("rep"), "root"), "rep", "left").select(F.col("rep").alias("fp"), F.coalesce("root", "rep").alias("label"))
     labels = components(nodes, edges)
     named = first.join(labels.select(F.col("fp").alias("rep"), F.col("label").alias("linked")), "rep", "left").select("same", F.coalesce("linked", "rep").alias("label"))
     grouped = marked.select("row", "same").join(named, "same").select("row", "label")
