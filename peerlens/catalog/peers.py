@@ -226,8 +226,8 @@ def gra_walk_embed(spark, sf):
 def gra_features(spark, sf):
     papers = t(spark, sf, "orders").select("o_custkey", "o_orderkey")
     text = WV.word_mean(order_sets(spark, sf), "o_orderkey", "elements", hash_elements(spark, sf), size=4)
-    block = GP.block_features(pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v")
-    return GP.graph_features(papers, _hops(spark, sf), "o_custkey", "o_orderkey", text_block=block)
+    block = GP.block_features(pin(text.select("o_custkey", "o_orderkey", "vector"), "text"), "o_custkey", "o_orderkey", "graph_w2v", detectors=False)
+    return GP.graph_features(papers, _hops(spark, sf), "o_custkey", "o_orderkey", text_block=block, detectors=False)
 
 
 def hash_elements(spark, sf):
@@ -296,7 +296,7 @@ def w2v_synonyms(spark, sf):
     return CB.synonyms(table, common["word"] if common else "", 10).select("word", A.r6("similarity").alias("similarity"))
 
 
-def word_features(papers, group, key, detectors=("all", "title", "abstract")):
+def word_features(papers, group, key, detectors=("all",)):
     """Word-vector features of all seven fields; organisations have a model of their own."""
     words, orgs = pin(_paper_words(papers), "words"), pin(CB.train(PP.org_corpus(papers), "tokens", size=SIZE, **ORG_WORDS), "org-words")
     year = F.when(F.col("year") > 0, F.array(F.col("year").cast("string"))).otherwise(F.array().cast("array<string>"))
@@ -309,7 +309,7 @@ def word_features(papers, group, key, detectors=("all", "title", "abstract")):
         ), "fields",
     )
     names = {"all": "everything", **{c: c for c in PP.TEXTS}, "orgs": "orgs", "title_abstract": "title_abstract"}
-    return MB.word_vector_blocks(fields, group, key, names, words, size=SIZE, tables={"orgs": orgs}, detectors=detectors)
+    return MB.word_vector_blocks(fields, group, key, names, words, size=SIZE, tables={"orgs": orgs}, detectors=detectors, rounds=2)
 
 
 @query("w2v_features")
