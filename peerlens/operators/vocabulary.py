@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from peerlens.functions.stem import stem
 from peerlens.operators.grouped import as_list
-from peerlens.runtime import spread
+from peerlens.runtime import short_batches, spread
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -32,4 +32,4 @@ def stem_lists(lists: pd.Series) -> pd.Series:
 
 def stem_tokens(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """Stem array columns and drop tokens of one character, inside the row: no token is shuffled. NULL gives an empty list."""
-    return spread(df).withColumns({c: stem_lists(c) for c in as_list(columns)})
+    return short_batches(spread(df)).withColumns({c: stem_lists(c) for c in as_list(columns)})
