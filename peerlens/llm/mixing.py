@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_wei
     """The input's columns, ``copy`` (1 to the count) and ``shuffle_key``; sorted by the key across and inside partitions.
 
     A document's count is the smallest k whose cumulative probability exceeds its uniform number; a count of zero
-    leaves it out, as the target weights ask. Rows with a null id are numbered (in a written table) and drawn by number, each
+    leaves it out, as the target weights ask. Rows with a null id are drawn by their content and, among equal ones, a number, each
     on its own; a null source is a source, empty or long texts are carried along unread. Repeated rows with an id have equal counts
     and keys. Own columns named ``copy`` or ``shuffle_key`` are replaced, all others kept whatever their names.
     """
@@ -74,7 +74,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_wei
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("_source"), F.col(id_col).cast("string").alias("_id"))
     nameless = packed.where("_id IS NULL")
     if not nameless.isEmpty():
-        numbered = aside(nameless.withColumn("_id", F.concat(F.lit("row "), F.monotonically_increasing_id())), "mixing-nameless")
+        # Equal rows are counted, not gathered, and numbered again; the number goes by content, not by place in the table.
+        counted = nameless.groupBy("_row", "_source").agg(F.count("*").alias("_n")).select("_row", "_source", F.md5(F.to_json("_row")).alias("_content"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+        numbered = counted.select("_row", "_source", F.concat_ws(" ", F.lit("row"), "_content", "_i").alias("_id"))
         packed = packed.where("_id IS NOT NULL").unionByName(numbered)
     dealt = _with_distribution(rates(docs, weights, default_weight, epochs, source_col)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = dealt.select(F.struct(F.col("source").alias("s"), "salt").alias("_rate_key"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
