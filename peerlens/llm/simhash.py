@@ -10,6 +10,8 @@ found by looking up flipped bits, never by pairing rows, and only one link per m
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,8 +27,10 @@ BITS, BLOCKS, MAX_BITS, SHINGLE = 64, 8, 2, 3
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint (four 16-bit blocks
 #: each), differing bits of the first 128 that are let through to the exact check, rows of buckets compared at a time.
 STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 14, 30, 8192
+#: Pairs of a shared part that leave a task at a time.
+PAIRS = 1 << 18
 #: Buckets up to this many rows are compared in full. Of the 64 * LANES bits, 135 +- 11 differ at a similarity of 0.8 and 206 +- 13 at 0.6;
-#: pairs with more than this many are not compared further.
+#: pairs with more than this many are left to ``sharing_pairs``.
 SMALL, WIDE_RADIUS = 16, 165
 _WIDTH = BITS // BLOCKS
 
@@ -320,14 +324,105 @@ def similar_links(reps: DataFrame, most: int = RADIUS) -> DataFrame:
     return found.groupBy("b").agg(F.sort_array(F.collect_set(F.struct("bits", "a"))).alias("near"))
 
 
+@functools.cache
+def _classes(similarity: float) -> np.ndarray:
+    """Largest size of each class of set sizes; two similar sets lie in one class or in neighbouring ones."""
+    out, top = [], 0
+    while top < 1 << 31:
+        top = max(top + 1, int((top + 1) * max(1 / similarity, 1.01) + 1e-9))
+        out.append(top)
+    return np.array(out, np.int64)
+
+
+def part_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of sorted hashes such that any two different sets of Jaccard similarity ``similarity`` or more share a key.
+
+    For each class of sizes that the smaller set of a pair can be in, ``most`` is the largest number of elements that only one of
+    two similar sets can have. The hashes are cut into ``most + 1 + spare`` ranges, of which the two agree on ``spare + 1`` or
+    more. Of all ranges in one order, those with the most elements first, ``most + 1`` are kept: leaving out ``spare`` of them
+    leaves an agreed one. The order leaves out empty ranges and single elements, so frequent shingles alone make no key.
+    """
+    size, classes = len(hashes), _classes(similarity)
+    low, high = np.searchsorted(classes, [math.ceil(similarity * size - 1e-9), size]).tolist()
+    out, mixed = [np.zeros(0, np.uint64)], _lane(hashes, LANES)
+    for c in range(low, high + 1) if size else ():
+        top = int(classes[c])
+        most = int((1 - similarity) / (1 + similarity) * (top + int(top / similarity + 1e-9)) + 1e-9)
+        if not most:  # only equal sets are similar
+            continue
+        parts = most + most // 4 + 3
+        part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        sums, held = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
+        sums[part[starts]] = np.add.reduceat(mixed, starts)
+        keys = _lane(sums ^ _lane(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32), LANES + 1), LANES + 2)
+        out.append(keys[np.lexsort((keys, -held))[: most + 1]])
+    return np.concatenate(out)
+
+
+def _cross_pairs(keys: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places (i, j) of equal keys and different labels, about ``PAIRS`` at a time; the rows are sorted by key and label."""
+    turn = np.diff(keys) != 0
+    ends = lambda cut: np.repeat(x := np.append(np.flatnonzero(cut) + 1, len(keys)), np.diff(x, prepend=0))
+    start, stop = ends(turn | (np.diff(labels) != 0)), ends(turn)
+    live = np.flatnonzero(stop > start)
+    total = np.cumsum((stop - start)[live])
+    cuts = np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) if len(live) else []
+    for own in np.split(live, np.unique(cuts)) if len(live) else ():
+        n = (stop - start)[own]
+        i = np.repeat(own, n)
+        yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def sharing_pairs(sets: DataFrame, similarity: float = SIMILARITY, words: int = STAGE_SHINGLE) -> DataFrame:
+    """(a, b), a < b: all pairs of rows (row, label, text) of different labels whose shingle sets share a key of ``part_keys``.
+
+    Every pair of different sets that is similar enough and not yet of one label is among them. A key is shared by rows that agree
+    on a whole range of hashes; rows of one label make no pairs, so a group of near copies that is already linked costs nothing.
+    """
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [part_keys(shingle_set(t, words), similarity) for t in text_bytes(batch.column(2))]
+        each = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        rows, labels = (batch.column(c).to_numpy()[each] for c in (0, 1))
+        return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(labels), pa.array(rows)], ["key", "label", "row"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = [], 0
+
+        def pairs(end: bool) -> Iterator[pa.RecordBatch]:
+            """Works on whole keys; unless it is the end, the last key may go on and its rows are kept."""
+            nonlocal held
+            keys, labels, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            done = len(keys) if end else int(np.searchsorted(keys, keys[-1]))
+            for i, j in _cross_pairs(keys[:done], labels[:done]):
+                yield pa.record_batch([pa.array(np.minimum(rows[i], rows[j])), pa.array(np.maximum(rows[i], rows[j]))], ["a", "b"])
+            held = [(keys[done:], labels[done:], rows[done:])]
+
+        for part in parts:
+            held.append(tuple(c.to_numpy() for c in part.columns))
+            fresh += part.num_rows
+            if fresh >= max(SLICE, len(held[0][0])):
+                yield from pairs(False)
+                fresh = 0
+        if held:
+            yield from pairs(True)
+
+    filed = batches(sets.select("row", "label", "text"), keyed, "key long, label long, row long")
+    ready = filed.repartition(n, "key").sortWithinPartitions("key", "label", "row")
+    return streams(ready, run, "a long, b long").distinct()
+
+
 def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: float = SIMILARITY, most: int = RADIUS) -> DataFrame:
     """Documents without their near copies: of texts joined by pairs of Jaccard similarity ``similarity`` or more over their sets of
     ``words``-word shingles one row stays, whole.
 
     A fingerprint of 64 * ``LANES`` bits is cut into 16-bit blocks. Two texts of similarity 0.8 differ in a bit with
     probability 0.15, so they share one of 56 blocks with probability 0.98 and, within ``RADIUS`` of 128 bits, pass the check of the distance
-    with 0.99; candidates whose whole fingerprints are close, too, are decided by the exact similarity of the shingle sets. Equal sets (copies in other
-    letter case or spacing, too) meet in an aggregate and need no blocks.
+    with 0.99; candidates whose whole fingerprints are close, too, are decided by the exact similarity of the shingle sets. What the blocks
+    miss is found by ``sharing_pairs``, which leaves out no pair: texts still in different groups that share a part are compared exactly.
+    Equal sets (copies in other letter case or spacing, too) meet in an aggregate and need no blocks.
 
     The row with the smallest doc_id stays, a null one last; of rows that share it the one with the smallest text hash. Rows are
     told apart by numbers of their own, so ids may be null, repeated or of any type. Texts without words (null, empty) are
@@ -374,14 +469,13 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
         return aside(both.where(bits <= WIDE_RADIUS).select("a", "b"), f"{name}-likely")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = likely(pairs, name)
         asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         hashed = aside(batches(texts.join(asked, "row", "left_semi"), sets, "row long, hashes binary"), f"{name}-texts")
         both = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
         return aside(batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long"), name)
 
     # The nearest of its candidates joins most texts to their group; the others are compared only across groups.
-    edges = verified(close.select(F.col("near")[0]["a"].alias("a"), "b"), "similar-nearest")
+    edges = verified(likely(close.select(F.col("near")[0]["a"].alias("a"), "b"), "similar-nearest"), "similar-nearest")
     # Each row has one nearest, an earlier one: four steps up these trees tell most joined texts.
     roots = edges.select(F.col("b").alias("row"), F.col("a").alias("root"))
     for _ in range(2):
@@ -391,10 +485,19 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     side = lambda c: roots.select(F.col("row").alias(c), F.col("root").alias(f"r{c}"))
     others = close.join(side("b"), "b", "left").select("b", "rb", F.explode(F.slice(F.col("near.a"), F.lit(2), F.size("near"))).alias("a"))
     apart = others.join(side("a"), "a", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    edges = edges.unionByName(verified(apart.select("a", "b"), "similar-others"))
+    edges = edges.unionByName(verified(likely(apart.select("a", "b"), "similar-others"), "similar-others"))
     nodes = first.join(roots.select(F.col("row").alias("rep"), "root"), "rep", "left").select(F.col("rep").alias("fp"), F.coalesce("root", "rep").alias("label"))
     labels = components(nodes, edges)
-    named = first.join(labels.select(F.col("fp").alias("rep"), F.col("label").alias("linked")), "rep", "left").select("same", F.coalesce("linked", "rep").alias("label"))
+    linked = first.join(labels.select(F.col("fp").alias("rep"), F.col("label").alias("linked")), "rep", "left")
+    named = aside(linked.select("same", "rep", F.coalesce("linked", "rep").alias("label")), "similar-groups")
+    # The rest: all pairs of different groups that can be similar, and the groups they join.
+    group = named.select(F.col("rep").alias("row"), "label")
+    missed = aside(sharing_pairs(texts.join(group, "row"), similarity, words), "similar-sharing")
+    missed = verified(missed, "similar-missed")
+    of = lambda c: group.select(F.col("row").alias(c), F.col("label").alias(f"l{c}"))
+    joined = missed.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    whole = components(named.select(F.col("label").alias("fp"), "label").distinct(), joined)
+    named = named.join(whole.select(F.col("fp").alias("label"), F.col("label").alias("whole")), "label", "left").select("same", F.coalesce("whole", "label").alias("label"))
     grouped = marked.select("row", "same").join(named, "same").select("row", "label")
     best = grouped.join(rows.select(F.col(row).alias("row"), _order(row).alias("order")), "row").groupBy("label").agg(F.min("order").alias("o"))
     return rows.join(best.select(F.col("o.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

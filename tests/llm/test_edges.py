@@ -89,6 +89,49 @@ def test_near_copies_by_similarity(spark):
     assert {i for i in range(len(texts)) if group[i] == i} <= kept  # no clean document goes
 
 
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    """Pairs of similarity just above 0.8, of any length: what stays is one text of each of the groups that brute force finds."""
+    rng = random.Random(11)
+    texts = []
+    while len(texts) < 1000:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([8, 9, 12, 20, 33, 60, 100, 240]))]
+        cut = rng.randint(0, len(base) // 5)
+        texts += [" ".join(base), " ".join(base[cut:])]
+        copy = list(base)
+        copy[len(base) // 2 : len(base) // 2 + max(1, len(base) // 10 - 4)] = ["other"]
+        texts.append(" ".join(copy))
+    plain = sets(texts)
+    group = list(range(len(texts)))
+    near = lambda i, j: len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])
+    for i in range(0, len(texts), 3):
+        members = range(i, min(i + 3, len(texts)))
+        for _ in members:
+            for a in members:
+                for b in members:
+                    if near(a, b):
+                        group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()} == {i for i, g in enumerate(group) if i == g}
+
+
+def test_similar_sets_share_a_key_and_pairs_cross_labels_only():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    for n in [*range(4, 40), 100, 301, 999]:
+        for _ in range(10):
+            x = draw(n)
+            gone = int(rng.integers(0, n // 5 + 1))
+            more = int((n - gone) / 0.8 - n)
+            y = np.unique(np.concatenate([rng.permutation(x)[gone:], draw(max(more, 0)) if more > 0 else x[:0]]))
+            if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) and not np.array_equal(x, y):
+                assert len(np.intersect1d(simhash.part_keys(x, 0.8), simhash.part_keys(y, 0.8)))
+    keys, labels = np.array([1, 1, 1, 2, 3, 3, 3, 3]), np.array([5, 5, 6, 7, 1, 1, 2, 3])
+    found = {(i, j) for a, b in simhash._cross_pairs(keys, labels) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert found == {(0, 2), (1, 2), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7)}
+
+
 def test_recall_on_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
