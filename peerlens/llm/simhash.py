@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,10 @@ BITS, BLOCKS, MAX_BITS, SHINGLE = 64, 8, 2, 3
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint (four 16-bit blocks
 #: each), differing bits of the first 128 that are let through to the exact check, rows of buckets compared at a time.
 STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 14, 30, 8192
-#: Pairs of a shared part that leave a task at a time.
-PAIRS = 1 << 18
+#: Pairs of a shared part that leave a task at a time; rows in which common parts are looked for, and how many of these are kept.
+PAIRS, SAMPLE, COMMON = 1 << 18, 16_384, 65_536
+#: Pairs a row of one key from which its rows go to ``dense_links`` instead; rows and bytes of hashes of a tile there, hashes counted at a time.
+DENSE, TILE_ROWS, TILE_BYTES, COLUMNS = 64, 512, 8 << 20, 4096
 #: Buckets up to this many rows are compared in full. Of the 64 * LANES bits, 135 +- 11 differ at a similarity of 0.8 and 206 +- 13 at 0.6;
 #: pairs with more than this many are left to ``sharing_pairs``.
 SMALL, WIDE_RADIUS = 16, 165
@@ -334,59 +337,95 @@ def _classes(similarity: float) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def part_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a set of sorted hashes such that any two different sets of Jaccard similarity ``similarity`` or more share a key.
-
-    For each class of sizes that the smaller set of a pair can be in, ``most`` is the largest number of elements that only one of
-    two similar sets can have. The hashes are cut into ``most + 1 + spare`` ranges, of which the two agree on ``spare + 1`` or
-    more. Of all ranges in one order, those with the most elements first, ``most + 1`` are kept: leaving out ``spare`` of them
-    leaves an agreed one. The order leaves out empty ranges and single elements, so frequent shingles alone make no key.
-    """
-    size, classes = len(hashes), _classes(similarity)
+def _parts(hashes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each class of sizes of the smaller set of a pair: the keys of the ranges of a set of sorted hashes, how many hashes each holds, and the
+    largest number of elements that only one of two similar sets can have. There are half as many ranges again, and a few."""
+    size, classes, mixed = len(hashes), _classes(similarity), _lane(hashes, LANES)
     low, high = np.searchsorted(classes, [math.ceil(similarity * size - 1e-9), size]).tolist()
-    out, mixed = [np.zeros(0, np.uint64)], _lane(hashes, LANES)
     for c in range(low, high + 1) if size else ():
         top = int(classes[c])
         most = int((1 - similarity) / (1 + similarity) * (top + int(top / similarity + 1e-9)) + 1e-9)
         if not most:  # only equal sets are similar
             continue
-        parts = most + most // 4 + 3
+        parts = most + most // 2 + 3
         part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.diff(part, prepend=-1))
-        sums, held = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
+        sums = np.zeros(parts, np.uint64)
         sums[part[starts]] = np.add.reduceat(mixed, starts)
         keys = _lane(sums ^ _lane(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32), LANES + 1), LANES + 2)
-        out.append(keys[np.lexsort((keys, -held))[: most + 1]])
+        yield keys, np.bincount(part, minlength=parts), most
+
+
+def part_keys(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set of sorted hashes such that any two different sets of Jaccard similarity ``similarity`` or more share a key.
+
+    Of ``most + 1 + spare`` ranges two similar sets agree on ``spare + 1`` or more, so of the ranges in any one order of all contents it is enough
+    to keep the first ``most + 1``. The order is: rare before ``common`` contents (sorted keys) by their counts, then those with the most
+    hashes first; empty ranges last. So texts that only have a common passage share no key; which contents are taken for common changes the work, not the result.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for keys, held, most in _parts(hashes, similarity):
+        weight = np.where(held > 0, 0, 1 << 62)
+        if common is not None and len(common):
+            at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+            weight += np.where((common[at] == keys) & (held > 0), counts[at], 0)
+        out.append(keys[np.lexsort((keys, -held, weight))[: most + 1]])
     return np.concatenate(out)
 
 
-def _cross_pairs(keys: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All places (i, j) of equal keys and different labels, about ``PAIRS`` at a time; the rows are sorted by key and label."""
+def _cross_pairs(keys: np.ndarray, labels: np.ndarray, dense: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """All places (i, j) of equal keys and different labels, about ``PAIRS`` at a time; the rows are sorted by key and label.
+
+    A key with more than ``dense`` pairs a row gives, marked as such, its first place with each other one instead.
+    """
     turn = np.diff(keys) != 0
     ends = lambda cut: np.repeat(x := np.append(np.flatnonzero(cut) + 1, len(keys)), np.diff(x, prepend=0))
     start, stop = ends(turn | (np.diff(labels) != 0)), ends(turn)
-    live = np.flatnonzero(stop > start)
-    total = np.cumsum((stop - start)[live])
+    count = stop - start
+    if dense is not None and len(keys):
+        first = np.append(0, np.flatnonzero(turn) + 1)
+        size = stop[first] - first
+        many = np.repeat(np.add.reduceat(count, first) > dense * size, size)
+        if many.any():
+            yield np.repeat(first, size)[many], np.flatnonzero(many), True
+            count = np.where(many, 0, count)
+    live = np.flatnonzero(count)
+    total = np.cumsum(count[live])
     cuts = np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) if len(live) else []
     for own in np.split(live, np.unique(cuts)) if len(live) else ():
-        n = (stop - start)[own]
+        n = count[own]
         i = np.repeat(own, n)
-        yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n), False
 
 
-def sharing_pairs(sets: DataFrame, similarity: float = SIMILARITY, words: int = STAGE_SHINGLE) -> DataFrame:
-    """(a, b), a < b: all pairs of rows (row, label, text) of different labels whose shingle sets share a key of ``part_keys``.
+def sharing_pairs(texts: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, words: int = STAGE_SHINGLE) -> DataFrame:
+    """(a, b, dense): all pairs a < b of rows of different labels whose shingle sets share a key of ``part_keys``.
 
-    Every pair of different sets that is similar enough and not yet of one label is among them. A key is shared by rows that agree
-    on a whole range of hashes; rows of one label make no pairs, so a group of near copies that is already linked costs nothing.
+    ``texts`` has (row, text), ``groups`` (row, label). Every pair of different sets that is similar enough and not yet of one label is among them. A key
+    is shared by rows that agree on a whole range of hashes; rows of one label make no pairs, so a group of near copies that is already
+    linked costs nothing. Ranges that several of about ``SAMPLE`` rows have are common. A key with very many pairs gives ``dense`` rows instead, which join
+    all its rows to one of them: all pairs of rows joined in this way, directly or not, are to be compared (``dense_links``).
     """
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(keys_of):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = [keys_of(shingle_set(t, words)) for t in text_bytes(batch.column(2))]
+            each = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            rows, labels = (batch.column(c).to_numpy()[each] for c in (0, 1))
+            return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(labels), pa.array(rows)], ["key", "label", "row"])
 
-    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [part_keys(shingle_set(t, words), similarity) for t in text_bytes(batch.column(2))]
-        each = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        rows, labels = (batch.column(c).to_numpy()[each] for c in (0, 1))
-        return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(labels), pa.array(rows)], ["key", "label", "row"])
+        return run
+
+    def filed(own: DataFrame, keys_of) -> DataFrame:
+        return batches(texts.join(own, "row").select("row", "label", "text"), keyed(keys_of), "key long, label long, row long")
+
+    share = SAMPLE / max(groups.count(), 1)
+    drawn = groups.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
+    every = lambda hashes: np.concatenate([np.zeros(0, np.uint64), *[keys[held > 0] for keys, held, _ in _parts(hashes, similarity)]])
+    often = filed(drawn, every).groupBy("key").agg(F.countDistinct("label").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    common, counts = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    common, counts = common[order := np.argsort(common)], counts[order]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fresh = [], 0
@@ -396,8 +435,8 @@ def sharing_pairs(sets: DataFrame, similarity: float = SIMILARITY, words: int =
             nonlocal held
             keys, labels, rows = (np.concatenate(x) for x in zip(*held, strict=True))
             done = len(keys) if end else int(np.searchsorted(keys, keys[-1]))
-            for i, j in _cross_pairs(keys[:done], labels[:done]):
-                yield pa.record_batch([pa.array(np.minimum(rows[i], rows[j])), pa.array(np.maximum(rows[i], rows[j]))], ["a", "b"])
+            for i, j, many in _cross_pairs(keys[:done], labels[:done], DENSE):
+                yield pa.record_batch([pa.array(np.minimum(rows[i], rows[j])), pa.array(np.maximum(rows[i], rows[j])), pa.array(np.full(len(i), many))], ["a", "b", "dense"])
             held = [(keys[done:], labels[done:], rows[done:])]
 
         for part in parts:
@@ -409,9 +448,46 @@ def sharing_pairs(sets: DataFrame, similarity: float = SIMILARITY, words: int =
         if held:
             yield from pairs(True)
 
-    filed = batches(sets.select("row", "label", "text"), keyed, "key long, label long, row long")
-    ready = filed.repartition(n, "key").sortWithinPartitions("key", "label", "row")
-    return streams(ready, run, "a long, b long").distinct()
+    ready = filed(groups, lambda hashes: part_keys(hashes, similarity, common, counts)).repartition(n, "key").sortWithinPartitions("key", "label", "row")
+    return streams(ready, run, "a long, b long, dense boolean").distinct()
+
+
+def _similar_in(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i of left, j of right) of similar sets, from the products of their incidence matrices, some hashes at a time."""
+    sizes = np.array([len(h) for h in hashes])
+    row = np.repeat(np.arange(len(hashes)), sizes)
+    _, code, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    own = times[code] > 1
+    row, code = row[own], (np.cumsum(times > 1) - 1)[code[own]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    shared = np.zeros((len(left), len(right)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        s, e = np.searchsorted(code, [lo, lo + COLUMNS])
+        m = np.zeros((len(hashes), COLUMNS), np.float32)
+        m[row[s:e], code[s:e] - lo] = 1
+        shared += m[left] @ m[right].T
+    return np.nonzero(shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared))
+
+
+def dense_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of different labels that hold two similar sets; ``sets`` has (block, row, label, hashes), all pairs of a block are compared.
+
+    A block goes in hash tiles of about ``TILE_ROWS`` rows or ``TILE_BYTES``; a task sees two tiles.
+    """
+    sized = sets.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum(F.octet_length("hashes")) / TILE_BYTES), F.lit(1)).cast("int").alias("tiles"))
+    tiled = sets.join(sized, "block").withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
+    met = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "label", "hashes")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tile, label = pdf["tile"].to_numpy(), pdf["label"].to_numpy()
+        left, right = np.flatnonzero(tile == pdf["i"].iloc[0]), np.flatnonzero(tile == pdf["j"].iloc[0])
+        i, j = _similar_in([np.frombuffer(h, np.uint64) for h in pdf["hashes"]], left, right, similarity)
+        a, b = label[left[i]], label[right[j]]
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
+
+    return met.groupBy("block", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: float = SIMILARITY, most: int = RADIUS) -> DataFrame:
@@ -492,10 +568,15 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     named = aside(linked.select("same", "rep", F.coalesce("linked", "rep").alias("label")), "similar-groups")
     # The rest: all pairs of different groups that can be similar, and the groups they join.
     group = named.select(F.col("rep").alias("row"), "label")
-    missed = aside(sharing_pairs(texts.join(group, "row"), similarity, words), "similar-sharing")
-    missed = verified(missed, "similar-missed")
+    missed = aside(sharing_pairs(texts, group, similarity, words), "similar-sharing")
     of = lambda c: group.select(F.col("row").alias(c), F.col("label").alias(f"l{c}"))
-    joined = missed.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = verified(missed.where("NOT dense").select("a", "b"), "similar-missed").join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    stars = missed.where("dense AND a <> b").select("a", "b")
+    if not stars.isEmpty():
+        blocks = components(group.select(F.col("row").alias("fp"), F.col("row").alias("label")), stars).select(F.col("fp").alias("row"), F.col("label").alias("block"))
+        hashed = aside(batches(texts.join(blocks, "row", "left_semi").select("row", "text"), sets, "row long, hashes binary"), "similar-dense")
+        joined = joined.unionByName(dense_links(hashed.join(blocks, "row").join(group, "row"), similarity))
+    joined = aside(joined.distinct(), "similar-joined")
     whole = components(named.select(F.col("label").alias("fp"), "label").distinct(), joined)
     named = named.join(whole.select(F.col("fp").alias("label"), F.col("label").alias("whole")), "label", "left").select("same", F.coalesce("whole", "label").alias("label"))
     grouped = marked.select("row", "same").join(named, "same").select("row", "label")

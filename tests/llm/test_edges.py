@@ -128,8 +128,37 @@ def test_similar_sets_share_a_key_and_pairs_cross_labels_only():
             if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) and not np.array_equal(x, y):
                 assert len(np.intersect1d(simhash.part_keys(x, 0.8), simhash.part_keys(y, 0.8)))
     keys, labels = np.array([1, 1, 1, 2, 3, 3, 3, 3]), np.array([5, 5, 6, 7, 1, 1, 2, 3])
-    found = {(i, j) for a, b in simhash._cross_pairs(keys, labels) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {(i, j) for a, b, _ in simhash._cross_pairs(keys, labels) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     assert found == {(0, 2), (1, 2), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7)}
+    found = {(i, j, d) for a, b, d in simhash._cross_pairs(keys, labels, 1) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert found == {(0, 2, False), (1, 2, False), (4, 4, True), (4, 5, True), (4, 6, True), (4, 7, True)}
+
+
+def test_a_large_group_of_loose_copies_is_compared_whole(spark, monkeypatch):
+    """Copies of one text with a few changed words, mostly just below the threshold to each other: groups as by brute force."""
+    monkeypatch.setattr(simhash, "DENSE", 4)
+    monkeypatch.setattr(simhash, "TILE_ROWS", 16)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 3)}"
+        texts.append(" ".join(copy))
+    plain = sets(texts)
+    group = list(range(len(texts)))
+    for _ in range(20):
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()} == {i for i, g in enumerate(group) if i == g}
+    hashed = spark.createDataFrame([(0, i, i, bytearray(simhash.shingle_set(t.encode(), 5).tobytes())) for i, t in rows], "block long, row long, label long, hashes binary")
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.dense_links(hashed).collect()}
+    assert found == {(j, i) for i in range(len(texts)) for j in range(i) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
 
 
 def test_recall_on_the_tables(spark):
