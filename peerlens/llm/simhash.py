@@ -31,7 +31,7 @@ STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 14, 30, 8192
 #: Pairs of a shared part that leave a task at a time; rows in which common parts are looked for, and how many of these are kept.
 PAIRS, SAMPLE, COMMON = 1 << 18, 16_384, 65_536
 #: Pairs a row of one key from which its rows go to ``dense_links`` instead; rows and bytes of hashes of a tile there, hashes counted at a time.
-DENSE, TILE_ROWS, TILE_BYTES, COLUMNS = 64, 512, 8 << 20, 4096
+DENSE, TILE_ROWS, TILE_BYTES, COLUMNS = 4, 512, 8 << 20, 4096
 #: Buckets up to this many rows are compared in full. Of the 64 * LANES bits, 135 +- 11 differ at a similarity of 0.8 and 206 +- 13 at 0.6;
 #: pairs with more than this many are left to ``sharing_pairs``.
 SMALL, WIDE_RADIUS = 16, 165
