@@ -10,7 +10,6 @@ found by looking up flipped bits, never by pairing rows, and only one link per m
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -30,8 +29,12 @@ BITS, BLOCKS, MAX_BITS, SHINGLE = 64, 8, 2, 3
 STAGE_SHINGLE, SIMILARITY, LANES, RADIUS, SLICE = 5, 0.8, 14, 30, 8192
 #: Pairs of a shared part that leave a task at a time; rows in which common parts are looked for, and how many of these are kept.
 PAIRS, SAMPLE, COMMON = 1 << 18, 16_384, 65_536
-#: Pairs a row of one key from which its rows go to ``dense_links`` instead; rows and bytes of hashes of a tile there, hashes counted at a time.
+#: Likely pairs a row of one key from which its rows go to ``dense_links`` instead; rows and bytes of hashes of a tile there, hashes counted at a time.
 DENSE, TILE_ROWS, TILE_BYTES, COLUMNS = 4, 512, 8 << 20, 4096
+#: Pairs a row of one key up to which their sizes and places are looked at one by one; beyond, all rows of the key are dense.
+LOOSE = 256
+#: Bits of the parity marks of a set.
+MARKS = 1024
 #: Buckets up to this many rows are compared in full. Of the 64 * LANES bits, 135 +- 11 differ at a similarity of 0.8 and 206 +- 13 at 0.6;
 #: pairs with more than this many are left to ``sharing_pairs``.
 SMALL, WIDE_RADIUS = 16, 165
@@ -327,50 +330,39 @@ def similar_links(reps: DataFrame, most: int = RADIUS) -> DataFrame:
     return found.groupBy("b").agg(F.sort_array(F.collect_set(F.struct("bits", "a"))).alias("near"))
 
 
-@functools.cache
-def _classes(similarity: float) -> np.ndarray:
-    """Largest size of each class of set sizes; two similar sets lie in one class or in neighbouring ones."""
-    out, top = [], 0
-    while top < 1 << 31:
-        top = max(top + 1, int((top + 1) * max(1 / similarity, 1.01) + 1e-9))
-        out.append(top)
-    return np.array(out, np.int64)
-
-
-def _parts(hashes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """For each class of sizes of the smaller set of a pair: the keys of the ranges of a set of sorted hashes, how many hashes each holds, and the
-    largest number of elements that only one of two similar sets can have. There are half as many ranges again, and a few."""
-    size, classes, mixed = len(hashes), _classes(similarity), _lane(hashes, LANES)
-    low, high = np.searchsorted(classes, [math.ceil(similarity * size - 1e-9), size]).tolist()
-    for c in range(low, high + 1) if size else ():
-        top = int(classes[c])
-        most = int((1 - similarity) / (1 + similarity) * (top + int(top / similarity + 1e-9)) + 1e-9)
-        if not most:  # only equal sets are similar
-            continue
-        parts = most + most // 2 + 3
-        part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        sums = np.zeros(parts, np.uint64)
-        sums[part[starts]] = np.add.reduceat(mixed, starts)
-        keys = _lane(sums ^ _lane(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32), LANES + 1), LANES + 2)
-        yield keys, np.bincount(part, minlength=parts), most
+def _rare_first(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
+    """The first hashes of a set in the order by (count in ``common``, hash), as many as a similar set cannot all lack; none of a set too small
+    to have a similar one besides itself."""
+    size = len(hashes)
+    if size < similarity * (size + 1) - 1e-9:
+        return hashes[:0]
+    keep = size - math.ceil(similarity * size - 1e-9) + 1
+    if common is None or not len(common):
+        return hashes[:keep]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.argsort(np.where(common[at] == hashes, counts[at], 0), kind="stable")[:keep]]
 
 
 def part_keys(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
-    """Keys of a set of sorted hashes such that any two different sets of Jaccard similarity ``similarity`` or more share a key.
+    """Hashes of a set of sorted hashes such that any two different sets of Jaccard similarity ``similarity`` or more share one of them.
 
-    Of ``most + 1 + spare`` ranges two similar sets agree on ``spare + 1`` or more, so of the ranges in any one order of all contents it is enough
-    to keep the first ``most + 1``. The order is: rare before ``common`` contents (sorted keys) by their counts, then those with the most
-    hashes first; empty ranges last. So texts that only have a common passage share no key; which contents are taken for common changes the work, not the result.
+    Two similar sets have all but a share ``1 - similarity`` of the hashes of each in common, so of the hashes in any one order of all of them it is
+    enough to keep the first such share and one more. The order is by the counts of ``common`` hashes (sorted; others count zero), so that
+    texts with common passages share few keys; which hashes are taken for common changes the work, not the result.
     """
-    out = [np.zeros(0, np.uint64)]
-    for keys, held, most in _parts(hashes, similarity):
-        weight = np.where(held > 0, 0, 1 << 62)
-        if common is not None and len(common):
-            at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-            weight += np.where((common[at] == keys) & (held > 0), counts[at], 0)
-        out.append(keys[np.lexsort((keys, -held, weight))[: most + 1]])
-    return np.concatenate(out)
+    return _rare_first(hashes, similarity, common, counts)
+
+
+def parity_marks(hashes: np.ndarray) -> np.ndarray:
+    """``MARKS`` bits as longs: which of as many shares of all hashes hold an odd number of the set's. Two sets differ in at most as many bits as
+    hashes lie in only one of them."""
+    odd = np.bincount((_lane(hashes, LANES) % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_similar(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets that share the key at these places of their orders, and none before, can be similar: what follows must be enough."""
+    return np.minimum(size[i] - place[i], size[j] - place[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
 
 
 def _cross_pairs(keys: np.ndarray, labels: np.ndarray, dense: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -398,46 +390,73 @@ def _cross_pairs(keys: np.ndarray, labels: np.ndarray, dense: int | None = None)
         yield i, start[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n), False
 
 
+def _likely_pairs(keys: np.ndarray, labels: np.ndarray, rows: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(row, row, dense) of equal keys and different labels that can be similar by their sizes and places; the rows are sorted by key and label.
+
+    A key with more than ``DENSE`` such pairs a row gives its first row in a pair with each other row in one instead, marked as dense.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j, many in _cross_pairs(keys, labels, LOOSE):
+        if many:
+            yield rows[i], rows[j], True
+        else:
+            near = _may_be_similar(size, place, i, j, similarity)
+            found.append((i[near], j[near]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(i):
+        return
+    key = np.cumsum(np.diff(keys, prepend=keys[0]) != 0)
+    many = (np.bincount(key[i], minlength=key[-1] + 1) > DENSE * np.bincount(key))[key[i]]
+    if many.any():
+        met = np.unique(np.concatenate([i[many], j[many]]))
+        _, start, times = np.unique(key[met], return_index=True, return_counts=True)
+        yield rows[np.repeat(met[start], times)], rows[met], True
+    yield rows[i[~many]], rows[j[~many]], False
+
+
 def sharing_pairs(texts: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, words: int = STAGE_SHINGLE) -> DataFrame:
-    """(a, b, dense): all pairs a < b of rows of different labels whose shingle sets share a key of ``part_keys``.
+    """(a, b, dense): all pairs a < b of rows of different labels whose shingle sets share a key of ``part_keys`` and can be similar.
 
     ``texts`` has (row, text), ``groups`` (row, label). Every pair of different sets that is similar enough and not yet of one label is among them. A key
-    is shared by rows that agree on a whole range of hashes; rows of one label make no pairs, so a group of near copies that is already
-    linked costs nothing. Ranges that several of about ``SAMPLE`` rows have are common. A key with very many pairs gives ``dense`` rows instead, which join
+    is a shingle, sent with the size of its set and its place in the order: a pair whose sets are too different in size, or have too little after
+    the place, is no similar one that meets here first. Rows of one label make no pairs, so a group of near copies that is already
+    linked costs nothing. Shingles that several of about ``SAMPLE`` rows have are common. A key with very many pairs gives ``dense`` rows instead, which join
     all its rows to one of them: all pairs of rows joined in this way, directly or not, are to be compared (``dense_links``).
     """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def keyed(keys_of):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [keys_of(shingle_set(t, words)) for t in text_bytes(batch.column(2))]
-            each = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            rows, labels = (batch.column(c).to_numpy()[each] for c in (0, 1))
-            return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(labels), pa.array(rows)], ["key", "label", "row"])
-
-        return run
-
-    def filed(own: DataFrame, keys_of) -> DataFrame:
-        return batches(texts.join(own, "row").select("row", "label", "text"), keyed(keys_of), "key long, label long, row long")
+    def every(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate([shingle_set(t, words) for t in text_bytes(batch.column(1))]).view(np.int64))], ["key"])
 
+    # A label is the number of one of its rows, which stands for all.
     share = SAMPLE / max(groups.count(), 1)
-    drawn = groups.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
-    every = lambda hashes: np.concatenate([np.zeros(0, np.uint64), *[keys[held > 0] for keys, held, _ in _parts(hashes, similarity)]])
-    often = filed(drawn, every).groupBy("key").agg(F.countDistinct("label").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    drawn = groups.where("row = label").where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
+    often = batches(texts.join(drawn, "row").select("row", "text"), every, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    often = often.where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
     common, counts = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     common, counts = common[order := np.argsort(common)], counts[order]
 
+    def filed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in text_bytes(batch.column(2))]
+        keys = [part_keys(s, similarity, common, counts) for s in sets]
+        held = [len(k) for k in keys]
+        each = np.repeat(np.arange(len(keys)), held)
+        rows, labels = (batch.column(c).to_numpy()[each] for c in (0, 1))
+        size = np.array([len(s) for s in sets], np.int32)[each]
+        place = (np.arange(len(each)) - np.repeat(np.cumsum(held) - held, held)).astype(np.int32)
+        return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(labels), pa.array(rows), pa.array(size), pa.array(place)], ["key", "label", "row", "size", "place"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fresh = [], 0
 
         def pairs(end: bool) -> Iterator[pa.RecordBatch]:
             """Works on whole keys; unless it is the end, the last key may go on and its rows are kept."""
             nonlocal held
-            keys, labels, rows = (np.concatenate(x) for x in zip(*held, strict=True))
-            done = len(keys) if end else int(np.searchsorted(keys, keys[-1]))
-            for i, j, many in _cross_pairs(keys[:done], labels[:done], DENSE):
-                yield pa.record_batch([pa.array(np.minimum(rows[i], rows[j])), pa.array(np.maximum(rows[i], rows[j])), pa.array(np.full(len(i), many))], ["a", "b", "dense"])
-            held = [(keys[done:], labels[done:], rows[done:])]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            done = len(columns[0]) if end else int(np.searchsorted(columns[0], columns[0][-1]))
+            for a, b, many in _likely_pairs(*[c[:done] for c in columns], similarity) if done else ():
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), many))], ["a", "b", "dense"])
+            held = [tuple(c[done:] for c in columns)]
 
         for part in parts:
             held.append(tuple(c.to_numpy() for c in part.columns))
@@ -448,7 +467,8 @@ def sharing_pairs(texts: DataFrame, groups: DataFrame, similarity: float = SIMIL
         if held:
             yield from pairs(True)
 
-    ready = filed(groups, lambda hashes: part_keys(hashes, similarity, common, counts)).repartition(n, "key").sortWithinPartitions("key", "label", "row")
+    keyed = batches(texts.join(groups, "row").select("row", "label", "text"), filed, "key long, label long, row long, size int, place int")
+    ready = keyed.repartition(n, "key").sortWithinPartitions("key", "label", "row")
     return streams(ready, run, "a long, b long, dense boolean").distinct()
 
 
@@ -497,7 +517,8 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     A fingerprint of 64 * ``LANES`` bits is cut into 16-bit blocks. Two texts of similarity 0.8 differ in a bit with
     probability 0.15, so they share one of 56 blocks with probability 0.98 and, within ``RADIUS`` of 128 bits, pass the check of the distance
     with 0.99; candidates whose whole fingerprints are close, too, are decided by the exact similarity of the shingle sets. What the blocks
-    miss is found by ``sharing_pairs``, which leaves out no pair: texts still in different groups that share a part are compared exactly.
+    miss is found by ``sharing_pairs``, which leaves out no pair: texts still in different groups that share a rare shingle, and whose
+    sizes, places and parity marks allow it, are compared exactly.
     Equal sets (copies in other letter case or spacing, too) meet in an aggregate and need no blocks.
 
     The row with the smallest doc_id stays, a null one last; of rows that share it the one with the smallest text hash. Rows are
@@ -509,17 +530,19 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     texts = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, keys, checked = [], [], []
+        same, keys, checked, sizes, marks = [], [], [], [], []
         for text in text_bytes(batch.column(1)):
             found = shingle_set(text, words)
             same.append(xxhash.xxh3_128_digest(found.tobytes()))
             wide = wide_fingerprint(found, LANES)
             keys.append(wide.view(">u2").astype(np.int32) + (np.arange(LANES * 4, dtype=np.int32) << 16))
             checked.append(wide[:16].view(">u8").astype(np.uint64).view(np.int64))
+            sizes.append(len(found))
+            marks.append(parity_marks(found).tolist())
         v = np.array(checked).reshape(-1, 2)
-        return pa.record_batch([batch.column(0), pa.array(same, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int32())), pa.array(v[:, 0]), pa.array(v[:, 1])], ["row", "same", "keys", "v1", "v2"])
+        return pa.record_batch([batch.column(0), pa.array(same, pa.binary()), pa.array([k.tolist() for k in keys], pa.list_(pa.int32())), pa.array(v[:, 0]), pa.array(v[:, 1]), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], ["row", "same", "keys", "v1", "v2", "size", "marks"])
 
-    marked = aside(batches(texts, prints, "row long, same binary, keys array<int>, v1 long, v2 long"), "similar-prints")
+    marked = aside(batches(texts, prints, "row long, same binary, keys array<int>, v1 long, v2 long, size int, marks array<long>"), "similar-prints")
     first = marked.groupBy("same").agg(F.min("row").alias("rep"))
     first = aside(first, "similar-sets")
     reps = marked.join(first.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -527,15 +550,18 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], ["row", "hashes"])
 
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(shared >= similarity * (len(x) + len(y) - shared))
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        return pa.record_batch([kept.column(0), kept.column(1)], ["a", "b"])
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in parts:
+            keep = []
+            for own, other in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True):
+                if own != last:  # the pairs of a row mostly follow each other
+                    last, x = own, shingle_set(own, words)
+                y = shingle_set(other, words)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([kept.column(0), kept.column(1)], ["a", "b"])
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose whole fingerprints are close enough for a similarity near the wanted one."""
@@ -544,11 +570,18 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
         bits = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda total, n: total + n)
         return aside(both.where(bits <= WIDE_RADIUS).select("a", "b"), f"{name}-likely")
 
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose parity marks do not rule the similarity out; no similar pair goes."""
+        side = lambda c: marked.select(F.col("row").alias(c), F.col("size").alias(f"s{c}"), F.col("marks").alias(f"m{c}"))
+        bits = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda total, n: total + n)
+        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("sa") + F.col("sb")) + F.lit(1e-6)
+        return aside(pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= most).select("a", "b"), f"{name}-possible")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        hashed = aside(batches(texts.join(asked, "row", "left_semi"), sets, "row long, hashes binary"), f"{name}-texts")
-        both = pairs.join(hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha")), "a").join(hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb")), "b")
-        return aside(batches(both.select("a", "b", "ha", "hb"), verify, "a long, b long"), name)
+        # Texts travel, not their hashes, which are larger and do not compress.
+        side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}"))
+        both = side("a").join(pairs.select("a").distinct(), "a", "left_semi").join(pairs.join(side("b"), "b"), "a")
+        return aside(streams(both.select("a", "b", "ta", "tb"), verify, "a long, b long"), name)
 
     # The nearest of its candidates joins most texts to their group; the others are compared only across groups.
     edges = verified(likely(close.select(F.col("near")[0]["a"].alias("a"), "b"), "similar-nearest"), "similar-nearest")
@@ -570,7 +603,7 @@ def keep_dissimilar(docs: DataFrame, words: int = STAGE_SHINGLE, similarity: flo
     group = named.select(F.col("rep").alias("row"), "label")
     missed = aside(sharing_pairs(texts, group, similarity, words), "similar-sharing")
     of = lambda c: group.select(F.col("row").alias(c), F.col("label").alias(f"l{c}"))
-    joined = verified(missed.where("NOT dense").select("a", "b"), "similar-missed").join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = verified(possible(missed.where("NOT dense").select("a", "b"), "similar-missed"), "similar-missed").join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     stars = missed.where("dense AND a <> b").select("a", "b")
     if not stars.isEmpty():
         blocks = components(group.select(F.col("row").alias("fp"), F.col("row").alias("label")), stars).select(F.col("fp").alias("row"), F.col("label").alias("block"))

@@ -134,6 +134,32 @@ def test_similar_sets_share_a_key_and_pairs_cross_labels_only():
     assert found == {(0, 2, False), (1, 2, False), (4, 4, True), (4, 5, True), (4, 6, True), (4, 7, True)}
 
 
+def test_keys_of_sets_are_few_and_lose_no_similar_pair():
+    """Of a set of n hashes a fifth and one are sent, rare ones first; likely pairs hold every similar pair of different labels."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    common = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    counts = rng.integers(3, 900, len(common))
+    sets = []
+    for n in [4, 5, 9, 20, 57, 100, 240]:
+        for _ in range(12):
+            base = np.concatenate([rng.integers(0, 1 << 63, n - n // 3, dtype=np.uint64), rng.permutation(common)[: n // 3]])
+            sets += [np.unique(rng.permutation(base)[int(rng.integers(0, n // 6 + 1)) :]) for _ in range(3)]
+    keys = [simhash.part_keys(s, 0.8, common, counts) for s in sets]
+    assert all(len(k) <= len(s) // 5 + 1 for k, s in zip(keys, sets, strict=True))
+    held = [(int(k), i, i, len(sets[i]), at) for i, own in enumerate(keys) for at, k in enumerate(own)]
+    columns = [np.array(c) for c in zip(*sorted(held), strict=True)]
+    found = {(min(a, b), max(a, b)) for x, y, dense in simhash._likely_pairs(*columns, 0.8) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) and not np.array_equal(sets[i], sets[j]):
+                assert (j, i) in found
+            differ = int(np.bitwise_count((simhash.parity_marks(sets[i]) ^ simhash.parity_marks(sets[j])).view(np.uint64)).sum())
+            assert differ <= len(sets[i]) + len(sets[j]) - 2 * shared
+
+
 def test_a_large_group_of_loose_copies_is_compared_whole(spark, monkeypatch):
     """Copies of one text with a few changed words, mostly just below the threshold to each other: groups as by brute force."""
     monkeypatch.setattr(simhash, "DENSE", 4)
