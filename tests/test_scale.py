@@ -130,6 +130,40 @@ def test_knn_tiles(emb):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, longer.where("rank <= 7").collect()))
 
 
+def test_knn_copies_few_rows():
+    """An item goes out once per query tile, so the tiles must be long where there are many rows."""
+    def copies(n, k=10, width=64, tasks=48):
+        tiles, segments = N.cuts(n, n, width, k, tasks)
+        assert tiles * segments >= min(2 * tasks, n * n // 4096**2) and n / segments <= 131_072
+        assert n / tiles <= max(2048, (1 << 22) / (width + 2 * k))
+        return tiles + segments
+
+    assert copies(600_000) <= 50 and copies(100_000) <= 21 and copies(10_000) <= 6
+    assert N.cuts(0, 0, 1, 5, 4) == (1, 1) and copies(100_000, k=1000) <= 70 and copies(100_000, width=4096) <= 110
+
+
+def test_knn_keeps_the_first_of_equal_scores(spark):
+    """Copies, few items, a k above the items of a block and rising scores: all as in a plain sort."""
+    vec = [[1.0, float(i % 7)] if i % 11 else [0.0, 0.0] for i in range(300)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vec)], "i int, v array<float>")
+    x = np.array(vec)
+    norm = np.sqrt((x * x).sum(1))
+    for k, how in ((5, {}), (5, {"tile_rows": 90, "segment_rows": 40}), (400, {"min_score": 0.5})):
+        got = sorted(tuple(r) for r in N.knn_cosine(df, df, "i", "i", "v", "v", k, skip_same=True, **how).collect())
+        want = []
+        for q in np.flatnonzero(norm):
+            c = [(-round(float(x[q] @ x[o] / norm[q] / norm[o]) + 1e-10, 6), int(o)) for o in np.flatnonzero(norm) if o != q]
+            best = [p for p in sorted(c) if -p[0] >= how.get("min_score", -2)][:k]
+            want += [(int(q), o, -s, rank + 1) for rank, (s, o) in enumerate(best)]
+        assert got == sorted(want)
+
+
+def test_knn_blocks_without_any_vector(spark):
+    df = spark.range(300).select(F.col("id").cast("int").alias("i"), F.when(F.col("id") >= 290, F.array(F.lit(1.0), F.col("id") * 1.0)).alias("v"))
+    got = N.knn_cosine(df, df, "i", "i", "v", "v", 3, skip_same=True, tile_rows=5, segment_rows=5).collect()
+    assert {r["i"] for r in got} == set(range(290, 300)) and len(got) == 30 and {r["item"] for r in got} <= set(range(290, 300))
+
+
 def test_ranks_quantiles_and_indexes(hot):
     w = Window.partitionBy("grp").orderBy("x", "vec_id")
     plain = hot.select("grp", "vec_id", F.row_number().over(w).cast("long").alias("rank"))
