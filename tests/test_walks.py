@@ -5,6 +5,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry_points
+from peerlens import runtime
+from peerlens.catalog import peers
 from peerlens.operators import graph as GR
 from peerlens.plans import graph as GP
 
@@ -63,3 +66,15 @@ def test_vectors_are_factors_of_the_information(graph):
         got = np.array([vectors[g, r, p] for p in names])
         assert got @ got.T == pytest.approx(want @ want.T, abs=1e-6)
     assert all((vectors["i", r, 200] == 0).all() for r in (0, 1))
+
+
+def test_edges_take_more_tasks_for_more_rows(spark, folder, monkeypatch):
+    """What a task holds must not grow with the tables, and the rows stay the same."""
+    names = ("gra_edges", "gra_adjacency")
+    plain = {n: sorted(map(tuple, entry_points.queries()[n](spark, folder).collect())) for n in names}
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    edges = peers.graph_edges(spark, folder)["author"]
+    assert edges.rdd.getNumPartitions() == -(-lines // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in names:
+        assert sorted(map(tuple, entry_points.queries()[n](spark, folder).collect())) == plain[n]
