@@ -78,3 +78,49 @@ def test_edges_take_more_tasks_for_more_rows(spark, folder, monkeypatch):
     assert edges.rdd.getNumPartitions() == -(-lines // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     for n in names:
         assert sorted(map(tuple, entry_points.queries()[n](spark, folder).collect())) == plain[n]
+
+
+def test_one_task_walks_like_joins(spark, monkeypatch):
+    """Groups in one task, a few at a time, and by joins: the same moves, paths and vectors, also of papers that come twice or are NULL."""
+    rows = [("g", p, f"k{p % 3}") for p in range(8)] + [("g", p, "left" if p < 4 else "right") for p in range(8)] + [("g", None, "left"), ("g", 50, "k1")]
+    rows += [(f"h{i}", 100 * i + p, f"k{p // 2}") for i in range(4) for p in range(6)]
+    papers = [("g", p) for p in (*range(8), 3, None)] + [(f"h{i}", 100 * i + p) for i in range(4) for p in range(6)] + [("i", 900), ("i", 900), ("i", 901), (None, 950)]
+    edges = spark.createDataFrame(rows, "grp string, paper long, key string")
+    papers = spark.createDataFrame(papers, "grp string, paper long")
+    hops = [GR.hop_table(edges.where("key not in ('left', 'right')"), "grp", "paper"), GR.hop_table(edges.where("key in ('left', 'right')"), "grp", "paper")]
+
+    def answers():
+        moves = sorted(map(repr, GR.walk_steps(papers, hops, "grp", "paper", walks=2, steps=3, runs=2, seed=1).collect()))
+        paths = sorted(map(repr, GR.metapath_walks(papers, hops, "grp", "paper", walks=2, steps=3).collect()))
+        vectors = GP.walk_vectors(papers, hops, "grp", "paper", walks=3, steps=4, runs=2, size=9, window=3).collect()
+        return moves, paths, sorted((str(v["grp"]), str(v["paper"]), v["run"], round(float(np.linalg.norm(v["vector"])), 6), len(v["vector"])) for v in vectors)
+
+    one = answers()
+    monkeypatch.setattr(GR, "TOGETHER", 20)
+    assert answers() == one
+    monkeypatch.setattr(GR, "GROUP_PAPERS", 0)
+    assert answers() == one
+
+
+def test_groups_of_one_task_write_no_hops(spark, graph, monkeypatch):
+    """A hop of small groups is no written table."""
+    papers, hops, _ = graph
+    written = []
+    monkeypatch.setattr(GR, "pin", lambda df, name="pin": written.append(name) or runtime.pin(df, name))
+    assert GR.metapath_walks(papers, hops, "grp", "paper", walks=1, steps=3).count() == 15
+    assert written == ["large-groups"]
+
+
+def test_draws_are_the_engine_s(spark):
+    from pyspark.sql import functions as F
+
+    from peerlens.functions import hashing as H
+
+    heads, tails = [b"0", b"12"], [f"{x}|{w}".encode() for x in (1, 22, 333333, "ä" * 30) for w in range(3)]
+    which = [(h, t) for h in range(2) for t in range(len(tails))]
+    draws = H.TextDraws(heads, tails, *(np.array(x) for x in zip(*which)))
+    rows = [(i, heads[draws.head[i]].decode(), *tails[draws.tail[i]].decode().split("|")) for i in range(len(which))]
+    df = spark.createDataFrame(rows, "i int, h string, a string, b string")
+    for name in ("3|0|k", "13|1|p"):
+        want = [r[1] for r in sorted(df.select("i", H.text_hash(F.col("h"), F.lit(name), F.col("a"), F.col("b"))).collect())]
+        assert draws.draw(name, np.arange(len(which))).tolist() == want
