@@ -124,3 +124,17 @@ def test_draws_are_the_engine_s(spark):
     for name in ("3|0|k", "13|1|p"):
         want = [r[1] for r in sorted(df.select("i", H.text_hash(F.col("h"), F.lit(name), F.col("a"), F.col("b"))).collect())]
         assert draws.draw(name, np.arange(len(which))).tolist() == want
+
+
+def test_registered_features_have_the_panel(spark, folder, tmp_path):
+    """Graph and text vectors both go through every detector."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").where("o_custkey <= 4")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").withColumnRenamed("l_orderkey", "o_orderkey").join(orders, "o_orderkey", "left_semi").withColumnRenamed("o_orderkey", "l_orderkey")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("customer", "supplier", "part", "nation"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{folder}/{name}.parquet")
+    got = entry_points.queries()["gra_features"](spark, str(tmp_path))
+    scores = [*(f"label_{d}" for d in ("dbs", "lof", "ilf", "ocs")), *(f"pred_{d}" for d in ("lof", "ilf", "ocs", "km", "gm"))]
+    assert {f"{p}_{s}" for p in ("graph", "graph_w2v") for s in scores} <= set(got.columns)
+    assert got.count() == orders.count()
